@@ -45,11 +45,10 @@ class Store:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def likely_in(frame: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
-    """Rows of frame whose key may be among wanted's keys: no wanted row is lost, some others may pass.
+def _marks(frame: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """frame with _hit: whether its key may be among wanted's keys; false only where it surely is not.
 
-    A bitmap of 2**BITMAP_BITS bits (at most 65,536 rows, 1 MB, whatever the input) is broadcast; its only use is to
-    keep rows that surely have no partner out of the shuffle of the exact join that follows.
+    A bitmap of 2**BITMAP_BITS bits (at most 65,536 rows, 1 MB, whatever the input) is broadcast.
     """
     bit = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(1 << BITMAP_BITS))
     words = (
@@ -58,8 +57,23 @@ def likely_in(frame: DataFrame, key: str, wanted: DataFrame, wanted_key: str) ->
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(_b & 63 as int))")).alias("_bits"))
     )
     marked = frame.withColumn("_b", bit(F.col(key))).withColumn("_word", F.shiftright("_b", 6))
-    hit = F.expr("(shiftright(_bits, cast(_b & 63 as int)) & 1) = 1")
-    return marked.join(F.broadcast(words), "_word").filter(hit).drop("_b", "_word", "_bits")
+    hit = F.coalesce(F.expr("(shiftright(_bits, cast(_b & 63 as int)) & 1) = 1"), F.lit(False))
+    return marked.join(F.broadcast(words), "_word", "left").withColumn("_hit", hit).drop("_b", "_word", "_bits")
+
+
+def likely_in(frame: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """Rows of frame whose key may be among wanted's keys: no wanted row is lost, some others may pass.
+
+    Its only use is to keep rows that surely have no partner out of the shuffle of the exact join that follows.
+    """
+    return _marks(frame, key, wanted, wanted_key).filter("_hit").drop("_hit")
+
+
+def without(frame: DataFrame, key: str, unwanted: DataFrame) -> DataFrame:
+    """Rows of frame whose key is not in unwanted(key); rows that surely are not are never shuffled."""
+    marked = _marks(frame, key, unwanted, key)
+    rest = marked.filter("_hit").drop("_hit").join(unwanted.select(key), key, "left_anti").select(*frame.columns)
+    return marked.filter("NOT _hit").select(*frame.columns).union(rest)
 
 
 def components(store: Store, edges: DataFrame, name: str = "cc", most: int = 60) -> DataFrame:

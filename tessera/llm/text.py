@@ -21,18 +21,22 @@ _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
 
 
-def word_table(separators: bytes) -> np.ndarray:
-    """256 entries: 0 for a separator byte, else the byte with A-Z lower-cased."""
-    table = np.arange(256, dtype=np.uint8)
-    table[65:91] += 32
-    table[list(separators)] = 0
-    return table
+class Words:
+    """A word class: which bytes belong to words, and the byte each is read as."""
+
+    def __init__(self, separators: bytes, lower: bool = True):
+        self.read = np.arange(256, dtype=np.uint8)
+        if lower:
+            self.read[65:91] += 32
+        self.inside = np.ones(256, dtype=bool)
+        self.inside[list(separators)] = False
 
 
 #: Words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z.
-ALNUM = word_table(bytes(range(0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x80)))
-#: Words ``[^\x20\x09-\x0D]+``; NUL is a word byte there, so bytes are shifted out of the way by the caller.
-SPACED = word_table(b"\x20\x09\x0a\x0b\x0c\x0d")
+ALNUM = Words(bytes(range(0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x80)))
+#: Words ``[^\x20\x09-\x0D]+`` after lower-casing A-Z, and as they stand.
+SPACED = Words(b"\x20\x09\x0a\x0b\x0c\x0d")
+SPACED_CASED = Words(b"\x20\x09\x0a\x0b\x0c\x0d", lower=False)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -90,27 +94,23 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         lo = hi
 
 
-def words(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lowered bytes, word starts, word ends, words before each text) of a slice; a word never crosses texts."""
+def words(buf: np.ndarray, offsets: np.ndarray, kind: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes as read, word starts, word ends, words before each text) of a slice; a word never crosses texts."""
     n = len(buf)
-    low = table[buf]
-    is_word = low != 0
-    if table is SPACED:
-        is_word |= buf == 0
+    here = np.zeros(n + 1, dtype=bool)
+    here[:n] = kind.inside[buf]
+    before = np.zeros(n + 1, dtype=bool)
+    before[1:] = here[:n]
     head = np.zeros(n + 1, dtype=bool)  # a text begins here
     head[offsets] = True
-    before = np.zeros(n + 1, dtype=bool)
-    before[1:] = is_word
-    here = np.zeros(n + 1, dtype=bool)
-    here[:n] = is_word
     starts = np.flatnonzero(here & (~before | head))
     ends = np.flatnonzero(before & (~here | head))
-    return low, starts, ends, np.searchsorted(starts, offsets)
+    return kind.read[buf], starts, ends, np.searchsorted(starts, offsets)
 
 
-def hashed_words(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hashed_words(buf: np.ndarray, offsets: np.ndarray, kind: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, word starts, word ends, words before each text)."""
-    low, starts, ends, firsts = words(buf, offsets, table)
+    low, starts, ends, firsts = words(buf, offsets, kind)
     if not len(starts):
         return np.zeros(0, np.uint64), starts, ends, firsts
     return range_hashes(low, starts, ends), starts, ends, firsts

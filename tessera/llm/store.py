@@ -45,7 +45,7 @@ class Store:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _marks(frame: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+def marks(frame: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
     """frame with _hit: whether its key may be among wanted's keys; false only where it surely is not.
 
     A bitmap of 2**BITMAP_BITS bits (at most 65,536 rows, 1 MB, whatever the input) is broadcast.
@@ -66,12 +66,12 @@ def likely_in(frame: DataFrame, key: str, wanted: DataFrame, wanted_key: str) ->
 
     Its only use is to keep rows that surely have no partner out of the shuffle of the exact join that follows.
     """
-    return _marks(frame, key, wanted, wanted_key).filter("_hit").drop("_hit")
+    return marks(frame, key, wanted, wanted_key).filter("_hit").drop("_hit")
 
 
 def without(frame: DataFrame, key: str, unwanted: DataFrame) -> DataFrame:
     """Rows of frame whose key is not in unwanted(key); rows that surely are not are never shuffled."""
-    marked = _marks(frame, key, unwanted, key)
+    marked = marks(frame, key, unwanted, key)
     rest = marked.filter("_hit").drop("_hit").join(unwanted.select(key), key, "left_anti").select(*frame.columns)
     return marked.filter("NOT _hit").select(*frame.columns).union(rest)
 

@@ -34,6 +34,7 @@ from tessera.shipping import ensure_shipped
 SKETCH_BITS = 20  # 2**20 hashed counters, 1 MB when broadcast, whatever the input
 SLICES = 64
 PARITY_WORDS = 8  # 512 bits
+WIDE_FROM, WIDE_WORDS = 1500, 64  # larger sets, whose differences fill 512 bits, have 4,096 more
 PAIR_COST = 8.0  # a checked pair against a written posting
 
 
@@ -80,14 +81,18 @@ def token_weights(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _profile(k: int, num: int, den: int, weights):
-    """(doc_id, n, digest, tokens of the longer prefix in global order, parity words) of every row."""
+    """(doc_id, n, digest, tokens of the longer prefix in global order, wide and short parity words) of every row."""
+
+    def parity_of(own: np.ndarray, size: int) -> np.ndarray:
+        bits = np.bincount((own >> np.uint64(7)).astype(np.int64) & (64 * size - 1), minlength=64 * size) & 1
+        return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         weight = weights.value
         for batch in batches:
-            n, digests, prefixes, parity = [], [], [], []
+            n, digests, prefixes, wide, parity = [], [], [], [], []
             for _, own in shingle_sets(batch.column(1), k):
                 n.append(len(own))
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
@@ -99,12 +104,12 @@ def _profile(k: int, num: int, den: int, weights):
                     keys = (weight[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (own >> np.uint64(8))
                     at = np.argpartition(keys, size - 1)[:size] if size < len(own) else np.arange(len(own))
                     prefixes.append(own[at[np.argsort(keys[at], kind="stable")]].view(np.int64))
-                bits = np.bincount((own >> np.uint64(7)).astype(np.int64) & (64 * PARITY_WORDS - 1), minlength=64 * PARITY_WORDS) & 1
-                parity.append(np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64))
+                wide.append(parity_of(own, WIDE_WORDS) if len(own) >= WIDE_FROM else None)
+                parity.append(parity_of(own, PARITY_WORDS))
             par = np.stack(parity) if parity else np.zeros((0, PARITY_WORDS), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), *(pa.array(par[:, j]) for j in range(PARITY_WORDS))],
-                ["doc_id", "n", "digest", "tokens", *(f"s{j}" for j in range(PARITY_WORDS))],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), *(pa.array(par[:, j]) for j in range(PARITY_WORDS))],
+                ["doc_id", "n", "digest", "tokens", "wide", *(f"s{j}" for j in range(PARITY_WORDS))],
             )
 
     return run
@@ -160,12 +165,12 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, k: int = 3, num: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     weights = spark.sparkContext.broadcast(token_weights(docs, k))
     words = [f"s{j}" for j in range(PARITY_WORDS)]
-    sets = store.put("sets", docs.mapInArrow(_profile(k, num, den, weights), "doc_id long, n long, digest binary, tokens array<long>, " + ", ".join(f"{w} long" for w in words)))
+    sets = store.put("sets", docs.mapInArrow(_profile(k, num, den, weights), "doc_id long, n long, digest binary, tokens array<long>, wide array<long>, " + ", ".join(f"{w} long" for w in words)))
 
     classes = store.put("classes", sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")))
     can = sets.filter("tokens IS NOT NULL AND doc_id IS NOT NULL")
     unique = can.join(classes.select("digest", F.col("rep").alias("doc_id")), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).withColumnRenamed("doc_id", "id")
-    unique = store.put("unique", unique.select("id", "n", "tokens", *words))
+    unique = store.put("unique", unique.select("id", "n", "tokens", "wide", *words))
 
     sizes = [(r["n"], r["c"]) for r in unique.groupBy("n").agg(F.count("*").alias("c")).collect()]  # as many rows as set sizes
     told = unique.select(F.explode("tokens").alias("t")).agg(F.count("*").alias("c"), F.approx_count_distinct("t").alias("d")).first()
@@ -187,8 +192,17 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, k: int = 3, num: int =
     differing = " + ".join(f"bit_count(a_{w} ^ b_{w})" for w in words)
     possible = F.expr(f"a_n * {den} >= b_n * {num} AND b_n * {den} >= a_n * {num} AND ({differing}) * {den + num} <= (a_n + b_n) * {den - num}")
 
+    wide = unique.groupBy("id").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("wide").alias("wide")).filter("c = 1 AND wide IS NOT NULL")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Pairs of large sets once more, by the wider sketch."""
+        two = [wide.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}")) for c in ("a", "b")]
+        met = pairs.join(two[0], "a", "left").join(two[1], "b", "left")
+        apart = F.expr(f"aggregate(zip_with(wa, wb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) * {den + num} <= (na + nb) * {den - num}")
+        return met.filter(F.coalesce(apart, F.lit(True))).select("a", "b")
+
     stars = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = store.put("stars", stars.join(side("a"), "a").join(side("b"), "b").filter(possible).select("a", "b"))
+    stars = store.put("stars", likely(stars.join(side("a"), "a").join(side("b"), "b").filter(possible).select("a", "b")))
     texts = docs.filter("doc_id IS NOT NULL")
     links = store.put("links", verified(texts, stars, k, num, den).distinct())
     first = store.put("first", components(store, links, "cc1"))
@@ -201,7 +215,7 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, k: int = 3, num: int =
     one = rest.select("sig", F.col("id").alias("a"), F.col("comp").alias("a_comp"), *(F.col(c).alias(f"a_{c}") for c in ("n", *words)))
     two = rest.select("sig", F.col("id").alias("b"), F.col("comp").alias("b_comp"), *(F.col(c).alias(f"b_{c}") for c in ("n", *words)))
     pairs = one.join(two, (one["sig"] == two["sig"]) & F.expr("a < b AND a_comp <> b_comp") & possible).select("a", "b")
-    pairs = store.put("pairs", pairs.distinct())
+    pairs = store.put("pairs", likely(pairs.distinct()))
     more = store.put("more", verified(texts, pairs, k, num, den).distinct())
     repeats = sets.filter("n > 0 AND doc_id IS NOT NULL").join(classes, "digest").filter("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
     edges = first.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more).union(repeats.select("lo", "hi"))

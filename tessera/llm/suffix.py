@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import text as tx
-from tessera.llm.store import Store, likely_in, marks
-from tessera.shipping import ensure_shipped
+from tessera.llm.store import Store, likely_in, marks, prepare
 
 WIDTH = 100
 K = 16
@@ -152,9 +151,10 @@ def repeats_of(docs: np.ndarray, starts: np.ndarray, texts: list[bytes]) -> tupl
     run = equal_runs(joined, order, WIDTH)
     if not len(run):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place = starts[entry] + order - base[entry]
-    by = np.lexsort((place, docs[entry], run))
-    later = np.concatenate([[False], run[by][1:] == run[by][:-1]])
+    place, owner = starts[entry] + order - base[entry], docs[entry]
+    by = np.lexsort((place, owner, run))
+    head = by[np.searchsorted(run[by], run[by])]  # the first of each run
+    later = (place[by] != place[head]) | (owner[by] != owner[head])  # a document that repeats repeats nothing
     return entry[by][later], (order - base[entry])[by][later]
 
 
@@ -243,7 +243,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     that repeat a doc_id with one text are one document: none repeats the other. Ties go to the smaller doc_id, then the
     smaller offset. Other columns of docs are not read.
     """
-    ensure_shipped(spark)
+    prepare(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = repeated_spans(spark, texts)
     per = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))

@@ -13,14 +13,13 @@ from tessera.llm.decontaminate import decontaminate
 from tessera.llm.jaccard import jaccard_groups
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality import fit, score_quality
-from tessera.llm.secrets import mask_secrets, scan_secrets
-from tessera.llm.store import Store, without
-from tessera.shipping import ensure_shipped
+from tessera.llm.secrets import scan_secrets
+from tessera.llm.store import Store, prepare, without
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below one half go."""
-    ensure_shipped(spark)
+    prepare(spark)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_quality(spark, docs, model).filter("score >= 0.5").select(*docs.columns)
 
@@ -39,7 +38,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; n_chars follows the text."""
-    masked = mask_secrets(scan_secrets(spark, docs))
+    masked = scan_secrets(spark, docs, mask=True)
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import text as tx
-from tessera.llm.store import Store
-from tessera.shipping import ensure_shipped
+from tessera.llm.store import Store, prepare
 
 LEAST, BITS, MOST = 24, 5, 128  # about 24 + 32 bytes a chunk
 RUN = 128
@@ -84,7 +83,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def duplicate_chunks(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, start, size) of every chunk whose digest stands earlier: at a smaller doc_id, or earlier in the document."""
-    ensure_shipped(spark)
+    prepare(spark)
     store = Store(spark, "chunks")
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = store.put("chunks", texts.mapInArrow(_chunks, "doc_id long, digest long, start int, size int"))

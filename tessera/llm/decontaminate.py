@@ -20,8 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import text as tx
-from tessera.llm.store import Store
-from tessera.shipping import ensure_shipped
+from tessera.llm.store import Store, prepare
 
 BLOCK_BYTES = 8 << 20
 _STATE = ("n_words", "spans", "items")
@@ -132,7 +131,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, bench: DataFrame, ngram:
     words has no windows; an item without id takes no part; rows that repeat an item count once, and items of one text
     all count. An empty benchmark leaves every document clean. Repeated documents are judged row by row.
     """
-    ensure_shipped(spark)
+    prepare(spark)
     state = docs.drop(*_STATE).withColumn("text", F.col("text").cast("string")).withColumns(
         {"n_words": F.lit(None).cast("long"), "spans": F.lit(None).cast("array<int>"), "items": F.lit(None).cast("array<string>")}
     )

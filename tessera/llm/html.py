@@ -24,8 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.store import Store, marks
-from tessera.shipping import ensure_shipped
+from tessera.llm.store import Store, marks, prepare
 
 BLOCKS = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header"
@@ -236,7 +235,7 @@ def extract_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     path are one place, whose page of the smallest page_id is aligned; they are no partners of each other. A tie between
     neighbours goes to the one before. Repeated rows get equal texts.
     """
-    ensure_shipped(spark)
+    prepare(spark)
     store = Store(spark, "html")
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     path = F.regexp_replace(F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", ""), r"(\.html?|/)$", "")

@@ -28,8 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import text as tx
-from tessera.llm.store import Store, components, likely_in
-from tessera.shipping import ensure_shipped
+from tessera.llm.store import Store, components, likely_in, prepare
 
 SKETCH_BITS = 20  # 2**20 hashed counters, 1 MB when broadcast, whatever the input
 SLICES = 64
@@ -160,7 +159,7 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, k: int = 3, num: int =
     of one document: they share a component. A row without doc_id takes no part and has a null component_id. Ties do
     not arise: links are decided by integers. Columns of docs other than doc_id and text are not read.
     """
-    ensure_shipped(spark)
+    prepare(spark)
     store = Store(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     weights = spark.sparkContext.broadcast(token_weights(docs, k))

@@ -2,47 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of the bounded membership bitmap; 2**22 bits are at most 65,536 rows of 64 bits on the driver.
-BITMAP_BITS = 22
-_OWN_DIR = "tessera.shared.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(_OWN_DIR, None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set(_OWN_DIR, found)
-    return found.rstrip("/")
+from tessera.shipping import ensure_shipped
+from tessera.sources.shared import Store, shared_dir
 
+__all__ = ["Store", "components", "likely_in", "marks", "prepare", "shared_dir", "without"]
 
-class Store:
-    """Written tables of one query in the shared folder: each cuts the lineage, so a lost executor costs a reread.
-
-    ``drop`` removes a table that no later plan reads; tables that a returned plan reads stay until the
-    cluster's own clean-up of its checkpoint folder.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: Bits of the bounded membership bitmap; 2**22 bits are at most 65,536 rows of 64 bits on the driver.
+BITMAP_BITS = 22
+#: Bytes of an Arrow batch, so that neither the JVM's nor Python's side of a worker holds much text at once.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-    def put(self, name: str, frame: DataFrame) -> DataFrame:
-        path = f"{self.path}/{name}"
-        frame.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(frame.schema).parquet(path)
 
-    def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and bound Arrow batches by bytes unless the session has a bound of its own."""
+    ensure_shipped(spark)
+    if spark.conf.get(_BATCH, "67108864b") == "67108864b":
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def marks(frame: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import text as tx
-from tessera.shipping import ensure_shipped
+from tessera.llm.store import prepare
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
@@ -147,7 +147,7 @@ def count_tokens(spark: SparkSession, docs: DataFrame, vocabulary: str = VOCABUL
     Columns of docs named n_words or n_tokens are replaced. A word of any length is walked whole. The vocabulary
     (tens of thousands of pieces, a fixed file) is read on the driver and broadcast.
     """
-    ensure_shipped(spark)
+    prepare(spark)
     docs = docs.drop("n_words", "n_tokens").withColumn("text", F.col("text").cast("string"))
     held = spark.sparkContext.broadcast(pieces_of(vocabulary))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")

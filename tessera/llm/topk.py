@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.store import Store
-from tessera.shipping import ensure_shipped
+from tessera.llm.store import Store, prepare
 
 SCALE = 1024
 QUERY_BLOCK = 8192  # queries broadcast at once
@@ -117,7 +116,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     the query's own id; a repeated row is a candidate each time. A query id that repeats asks with its smallest vector.
     Ties go to the smaller vec_id. No vectors or no queries: no rows. Queries are broadcast in blocks of QUERY_BLOCK.
     """
-    ensure_shipped(spark)
+    prepare(spark)
     store = Store(spark, "topk")
 
     def usable(frame: DataFrame) -> DataFrame:

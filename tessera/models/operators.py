@@ -80,6 +80,22 @@ def run_onnx(content: bytes, rows: np.ndarray) -> np.ndarray:
     return np.asarray(out, dtype=np.float64).reshape(len(rows), -1)[:, 0] if len(rows) else np.zeros(0)
 
 
+def onnx_inputs(content: bytes) -> int:
+    """How many numbers a row of the model's input has."""
+    return int(_session(content).get_inputs()[0].shape[-1])
+
+
+def onnx_udf(content: bytes):
+    """An Arrow UDF from an array of inputs to the score; a NULL input is read as NaN."""
+
+    @F.pandas_udf("double")
+    def infer(values: pd.Series) -> pd.Series:
+        rows = np.stack([np.array(v, dtype=np.float32) for v in values]) if len(values) else np.zeros((0, 1), np.float32)
+        return pd.Series(run_onnx(content, rows))
+
+    return infer
+
+
 @dataclass
 class OnnxOperator:
     """A model file, read once on the driver and sent with the plan; each Python worker keeps one session."""
@@ -99,14 +115,7 @@ class OnnxOperator:
             return cls(function_id, f.read(), **options)
 
     def score(self, columns: list[Column]) -> Column:
-        content = self.content
-
-        @F.pandas_udf("double")
-        def infer(*values: pd.Series) -> pd.Series:
-            rows = np.column_stack([v.to_numpy(dtype=np.float32, na_value=np.nan) for v in values])
-            return pd.Series(run_onnx(content, rows))
-
-        return infer(*(c.cast("float") for c in columns))
+        return onnx_udf(self.content)(F.array(*(c.cast("float") for c in columns)))
 
 
 def model_features(operator: Operator, frame: DataFrame) -> list[str]:

@@ -21,7 +21,7 @@ from tessera.hitl.monitor import Anomaly, Monitor
 from tessera.logic.checker import Checker
 from tessera.logic.language import compile_rule
 from tessera.logic.parser import Rule, parse_rule
-from tessera.models.operators import LinearOperator, OnnxOperator, Operator, Registry, checked_arguments, model_features, predict
+from tessera.models.operators import LinearOperator, OnnxOperator, Operator, Registry, checked_arguments, model_features, onnx_inputs, onnx_udf, predict
 from tessera.operators import datalog, provenance
 from tessera.operators.guards import guard_result, guard_scan
 from tessera.plans import pareto
@@ -202,18 +202,12 @@ class Session:
             body = f"1.0D / (1.0D + exp(-({total})))" if operator.logistic else total
             self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {function_id}({', '.join(f'{n} DOUBLE' for n in names)}) RETURNS DOUBLE RETURN {body}")
             return
-        import numpy as np
-        import pandas as pd
-
-        from tessera.models.operators import run_onnx
-
-        content = operator.content
-
-        @F.pandas_udf("double")
-        def infer(*values: pd.Series) -> pd.Series:
-            return pd.Series(run_onnx(content, np.column_stack([v.to_numpy(dtype=np.float32, na_value=np.nan) for v in values])))
-
-        self.spark.udf.register(function_id, infer)
+        inner = f"__{function_id}_rows"
+        self.spark.udf.register(inner, onnx_udf(operator.content))
+        arity = len(operator.features) if operator.features else onnx_inputs(operator.content)
+        names = [f"x{i}" for i in range(arity)]
+        array = ", ".join(f"cast({n} AS float)" for n in names)
+        self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {function_id}({', '.join(f'{n} DOUBLE' for n in names)}) RETURNS DOUBLE RETURN {inner}(array({array}))")
 
     def _register_functions(self) -> None:
         self.spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION vector_distance(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN sqrt(aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))")

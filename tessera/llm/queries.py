@@ -13,9 +13,10 @@ from tessera.llm.jaccard import op10_ngram_jaccard_join
 from tessera.llm.packing import op5_best_fit_packing
 from tessera.llm.quality import op9_quality_classifier
 from tessera.llm.secrets import op7_secret_scans
+from tessera.llm.sql import OP3_SQL, OP4_SQL, OP10_SQL
 from tessera.llm.suffix import op6_suffix_array_dedup
 from tessera.llm.tokens import op1_token_counts
-from tessera.llm.topk import OP4_SQL, op4_exact_topk
+from tessera.llm.topk import op4_exact_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
@@ -29,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
-ORACLE_SQL: dict[str, str] = {"op4_exact_topk": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_benchmark_decontamination": OP3_SQL, "op4_exact_topk": OP4_SQL, "op10_ngram_jaccard_join": OP10_SQL}

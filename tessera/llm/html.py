@@ -40,36 +40,39 @@ MARKS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr header masthead menu nav navbar navigation newsletter notice"
     " notices popup promo promoted promotion related replies reply respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
-#: Elements that hold the article by their own name are not dropped for a class.
-ARTICLES = frozenset(("article", "main"))
+#: Of these, the words that inside an article mark a part of it.
+INNER = frozenset(("header", "masthead", "banner"))
+#: How surely an element holds the article.
+LEVEL = {"article": 2, "main": 1}
 SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
 class _Lines(HTMLParser):
-    """(in an article, text) of each block of text, in page order."""
+    """(level, text) of each block of text, in page order; level 2 is in an article element, 1 in main, 0 in neither."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[bool, str]] = []
+        self.lines: list[tuple[int, str]] = []
         self.parts: list[str] = []
-        self.open: list[tuple[str, bool, bool]] = []  # tag, dropped from here on, article from here on
+        self.open: list[tuple[str, bool, int]] = []  # tag, dropped from here on, level from here on
 
     def _break(self):
         if self.parts:
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             self.parts = []
             if text:
-                self.lines.append((bool(self.open) and self.open[-1][2], text))
+                self.lines.append((self.open[-1][2] if self.open else 0, text))
 
-    def _unwanted(self, tag: str, attrs: dict[str, str | None], inside: bool) -> bool:
-        if tag in DROPPED and not (tag == "header" and inside):
+    def _unwanted(self, tag: str, attrs: dict[str, str | None], level: int) -> bool:
+        if tag in DROPPED and not (tag == "header" and level):
             return True
-        if tag in ("html", "body", *ARTICLES):
+        if tag in ("html", "body", "main"):
             return False
         if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or (attrs.get("role") or "").lower() in ROLES:
             return True
-        return any(not MARKS.isdisjoint(_WORDS.findall((attrs.get(a) or "").lower())) for a in ("class", "id"))
+        marks_here = MARKS - INNER if level or tag in LEVEL else MARKS
+        return any(not marks_here.isdisjoint(_WORDS.findall((attrs.get(a) or "").lower())) for a in ("class", "id"))
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -80,8 +83,8 @@ class _Lines(HTMLParser):
             self.open.pop()
         if tag in VOID:
             return
-        _, dropped, inside = self.open[-1] if self.open else ("", False, False)
-        self.open.append((tag, dropped or self._unwanted(tag, dict(attrs), inside), inside or tag in ARTICLES))
+        _, dropped, level = self.open[-1] if self.open else ("", False, 0)
+        self.open.append((tag, dropped or self._unwanted(tag, dict(attrs), level), max(level, LEVEL.get(tag, 0))))
 
     def _close(self, tag):
         for i in range(len(self.open) - 1, -1, -1):
@@ -105,8 +108,8 @@ class _Lines(HTMLParser):
             self.parts.append(data)
 
 
-def page_lines(html: str | None) -> list[tuple[bool, str]]:
-    """The text lines of a page outside of dropped elements, each with whether an article element holds it."""
+def page_lines(html: str | None) -> list[tuple[int, str]]:
+    """The text lines of a page outside of dropped elements, each with its level."""
     parser = _Lines()
     parser.feed(html or "")
     parser.close()
@@ -163,7 +166,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 *(batch.column(c) for c in ("page_id", "host", "path")),
                 pa.array([[_signed(t) for _, t in lines] for lines in pages], pa.list_(pa.int64())),
-                pa.array([not any(inside for inside, _ in lines) for lines in pages]),
+                pa.array([not any(level for level, _ in lines) for lines in pages]),
             ],
             ["page_id", "host", "path", "lines", "open"],
         )
@@ -193,8 +196,8 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(html: str | None, template: list[int] | None = None) -> str:
     """Lines of the article; without an article element, all lines but those of the template."""
     lines = page_lines(html)
-    if any(inside for inside, _ in lines):
-        return "\n".join(t for inside, t in lines if inside)
+    if surest := max((level for level, _ in lines), default=0):
+        return "\n".join(t for level, t in lines if level == surest)
     known = set(template or ())
     return "\n".join(t for _, t in lines if _signed(t) not in known)
 

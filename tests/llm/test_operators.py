@@ -116,6 +116,13 @@ def test_html_extraction(spark):
     assert html.extract_text(spark, frame.limit(0)).count() == 0
 
 
+def test_articles_before_main_and_without_comments():
+    page = "<main><p>crumbs</p><article class='post'><header class='entry-header'><h1>T</h1></header><p>a</p><article class='comment'>no</article><aside>no</aside></article><div id='comments'>no</div></main>"
+    assert html.main_text(page) == "T\na"
+    assert html.main_text("<main><p>x &lt;b&gt;</p><nav>no</nav></main><p>no</p>") == "x <b>"
+    assert html.main_text("<p>unclosed <b>bold<p>next<ul><li>one<li>two</ul>tail") == "unclosed bold\nnext\none\ntwo\ntail"
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(3)
 

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from tessera.llm import text as tx
 from tessera.llm.store import Store, prepare
 
-LEAST, BITS, MOST = 24, 5, 128  # about 24 + 32 bytes a chunk
-RUN = 128
+LEAST, BITS, MOST = 16, 4, 96  # about 31 bytes a chunk
+RUN = 80
 _GEAR = tx.mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -75,9 +75,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             row = np.searchsorted(offsets, starts, side="right") - 1
             digests = tx.range_hashes(buf, starts, ends)
+            order = np.lexsort((starts, digests, row))  # of equal chunks of one text all but the first stand again
+            again = np.zeros(len(row), bool)
+            again[order[1:]] = (digests[order[1:]] == digests[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[lo + row], pa.int64()), pa.array(digests.view(np.int64)), pa.array((starts - offsets[row]).astype(np.int32)), pa.array((ends - starts).astype(np.int32))],
-                ["doc_id", "digest", "start", "size"],
+                [pa.array(ids[lo + row], pa.int64()), pa.array(digests.view(np.int64)), pa.array((starts - offsets[row]).astype(np.int32)), pa.array((ends - starts).astype(np.int16)), pa.array(again)],
+                ["doc_id", "digest", "start", "size", "again"],
             )
 
 
@@ -86,10 +89,11 @@ def duplicate_chunks(spark: SparkSession, docs: DataFrame) -> DataFrame:
     prepare(spark)
     store = Store(spark, "chunks")
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = store.put("chunks", texts.mapInArrow(_chunks, "doc_id long, digest long, start int, size int"))
-    firsts = chunks.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).filter("first <> last")
-    firsts = firsts.select("digest", F.col("first.doc_id").alias("d"), F.col("first.start").alias("s"))
-    return chunks.join(firsts, "digest").filter("doc_id <> d OR start <> s").select("doc_id", "start", "size")
+    chunks = store.put("chunks", texts.mapInArrow(_chunks, "doc_id long, digest long, start int, size smallint, again boolean"))
+    firsts = chunks.filter("NOT again").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).filter("c > 1").select("digest", "first")
+    elsewhere = chunks.filter("NOT again").join(firsts, "digest").filter("doc_id > first").select("doc_id", "start", "size")
+    # a chunk that stands again in its own document repeats it, whether other documents have it or not
+    return elsewhere.union(chunks.filter("again").select("doc_id", "start", "size"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -99,7 +103,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, run: int = RUN) -> Dat
     document: equal rows are not duplicates of each other. Ties cannot arise, as a place in a document is unique.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = duplicate_chunks(spark, texts).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("c"))
+    found = duplicate_chunks(spark, texts).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", F.col("size").cast("int").alias("size")))).alias("c"))
     joined = F.aggregate(
         "c",
         F.array().cast("array<struct<start:int,end:int>>"),

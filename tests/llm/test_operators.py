@@ -335,7 +335,7 @@ def test_substring_dedup(spark, docs):
     for d, t in DOCS:
         at, runs = 0, []
         for c in chunks_alone(t) if t else []:
-            n = len(c.encode())
+            n = len(c)
             if c in first:
                 if runs and runs[-1][1] == at:
                     runs[-1] = (runs[-1][0], at + n)

@@ -53,6 +53,10 @@ def log_metrics(log: DataFrame) -> DataFrame:
 
 
 def conflicts(writes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of transactions that write one key: an equi self-join on the key; writes has txn_id and key."""
-    a, b = writes.select(F.col("txn_id").alias("a"), "key").distinct(), writes.select(F.col("txn_id").alias("b"), "key").distinct()
-    return a.join(b, "key").filter("a < b").select("a", "b").distinct()
+    """txn_id and how many keys (keys) it writes that another transaction writes too; writes has txn_id and key.
+
+    Keys with several writers are found by an aggregate and joined back, so a hot key costs its writers once, not their
+    pairs.
+    """
+    shared = writes.groupBy("key").agg(F.min("txn_id").alias("lo"), F.max("txn_id").alias("hi")).filter("lo < hi").select("key")
+    return writes.distinct().join(shared, "key").groupBy("txn_id").agg(F.count("*").alias("keys"))

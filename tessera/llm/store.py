@@ -13,7 +13,7 @@ __all__ = ["Store", "components", "likely_in", "marks", "prepare", "shared_dir",
 #: Bits of the bounded membership bitmap; 2**22 bits are at most 65,536 rows of 64 bits on the driver.
 BITMAP_BITS = 22
 #: Bytes of an Arrow batch, so that neither the JVM's nor Python's side of a worker holds much text at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

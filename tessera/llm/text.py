@@ -7,6 +7,8 @@ many texts never needs more than a small multiple of ``MAX_SLICE`` bytes.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +17,11 @@ import pyarrow as pa
 #: Bytes of text handled at once; one longer text is a slice of its own.
 MAX_SLICE = (1 << 20) - 64
 
+with contextlib.suppress(AttributeError, OSError):  # where there is glibc: large arrays go back to the system when freed
+    _libc = ctypes.CDLL(None)
+    _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    _libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M1 = np.uint64(0xBF58476D1CE4E5B9)

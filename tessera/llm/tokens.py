@@ -39,40 +39,35 @@ class Automaton:
     """start: the state behind the mark; table[state, byte]: popped << _STATE_BITS | next; rest[state]: tokens at a word's end."""
 
     def __init__(self, pieces: list[bytes], mark: bytes = MARK):
-        vocabulary = {p for p in pieces if p} | {bytes([b]) for b in range(256)}
-        children: list[dict[int, int]] = [{}]
-        final, parent, byte, depth = [False], [0], [0], [0]
-        for piece in sorted(vocabulary):
-            at = 0
-            for b in piece:
-                to = children[at].get(b)
-                if to is None:
-                    to = children[at][b] = len(children)
-                    children.append({})
-                    final.append(False)
-                    parent.append(at)
-                    byte.append(b)
-                    depth.append(depth[at] + 1)
-                at = to
-            final[at] = True
-        n = len(children)
-        assert n < 1 << _STATE_BITS
-        self.table = np.zeros((n, 256), np.int32)
-        self.rest = np.zeros(n, np.int32)
-        for b, to in children[0].items():
-            self.table[0, b] = to
-        mask, fail, popped = (1 << _STATE_BITS) - 1, [0] * n, [0] * n
-        for v in sorted(range(1, n), key=depth.__getitem__):
-            if final[v]:
-                fail[v], popped[v] = 0, 1
-            else:  # the parent's link, then the byte: at least one token is popped, since the root has every byte
-                u = parent[v]
-                step = int(self.table[fail[u], byte[v]])
-                fail[v], popped[v] = step & mask, popped[u] + (step >> _STATE_BITS)
-            self.table[v] = self.table[fail[v]] + (popped[v] << _STATE_BITS)
-            for b, to in children[v].items():
-                self.table[v, b] = to
-            self.rest[v] = popped[v] + self.rest[fail[v]]
+        vocabulary = sorted({p for p in pieces if p} | {bytes([b]) for b in range(256)})
+        sizes = np.array([len(p) for p in vocabulary])
+        letters = np.zeros((len(vocabulary), int(sizes.max())), np.uint8)
+        for i, piece in enumerate(vocabulary):
+            letters[i, : len(piece)] = np.frombuffer(piece, np.uint8)
+        # the nodes of each depth: parent and byte of each, and which are pieces
+        node, levels, made = np.zeros(len(vocabulary), np.int64), [], 1
+        for depth in range(letters.shape[1]):
+            alive = np.flatnonzero(sizes > depth)
+            edges, which = np.unique(node[alive] * 256 + letters[alive, depth], return_inverse=True)
+            node[alive] = made + which
+            final = np.zeros(len(edges), bool)
+            final[node[alive[sizes[alive] == depth + 1]] - made] = True
+            levels.append((np.arange(made, made + len(edges)), edges >> 8, edges & 255, final))
+            made += len(edges)
+        assert made < 1 << _STATE_BITS
+        self.table, self.rest = np.zeros((made, 256), np.int32), np.zeros(made, np.int32)
+        mask, fail, popped = (1 << _STATE_BITS) - 1, np.zeros(made, np.int64), np.zeros(made, np.int64)
+        self.table[0, levels[0][2]] = levels[0][0]
+        for k, (own, parent, byte, final) in enumerate(levels):
+            # a piece pops itself; another node pops what its parent pops, and what the parent's link pops on the byte
+            step = self.table[fail[parent], byte].astype(np.int64)
+            fail[own] = np.where(final, 0, step & mask)
+            popped[own] = np.where(final, 1, popped[parent] + (step >> _STATE_BITS))
+            self.table[own] = self.table[fail[own]] + (popped[own] << _STATE_BITS)[:, None].astype(np.int32)
+            self.rest[own] = popped[own] + self.rest[fail[own]]
+            if k + 1 < len(levels):
+                below, parents, bytes_, _ = levels[k + 1]
+                self.table[parents, bytes_] = below
         self.start, self.before = 0, 0
         for b in mark:
             step = int(self.table[self.start, b])

@@ -28,9 +28,9 @@ from tessera.llm import text as tx
 from tessera.llm.store import Store, likely_in, marks, prepare
 
 WIDTH = 100
-K = 16
-HOT = 512
-BUCKET_ROWS = 8192  # contexts of a bucket, about 150 bytes each
+K = 32
+HOT = 2048
+BUCKET_ROWS = 4096  # contexts of a bucket, about 140 bytes each
 
 
 def difference_cover(s: np.ndarray) -> np.ndarray:
@@ -44,8 +44,8 @@ def difference_cover(s: np.ndarray) -> np.ndarray:
     sample = np.concatenate([first, second])
     if top < 1 << 20:
         keys = (t[sample] * top + t[sample + 1]) * top + t[sample + 2]
-        order = np.argsort(keys, kind="stable")
-        fresh = keys[order][1:] != keys[order][:-1]
+        order = np.argsort(keys)
+        fresh = np.diff(keys[order]) != 0
     else:
         order = np.lexsort((t[sample + 2], t[sample + 1], t[sample]))
         fresh = np.any([t[sample[order][1:] + d] != t[sample[order][:-1] + d] for d in range(3)], axis=0)
@@ -62,7 +62,7 @@ def difference_cover(s: np.ndarray) -> np.ndarray:
     rest = np.arange(0, n, 3)
     wide = len(sample) + 2
     one = lambda i: t[i] * wide + rank[i + 1]
-    rest = rest[np.argsort(one(rest), kind="stable")]
+    rest = rest[np.argsort(one(rest))]
     in_first, in_second = sorted12[sorted12 % 3 == 1], sorted12[sorted12 % 3 == 2]
     before = np.searchsorted(one(in_first), one(rest))
     pairs = np.unique(np.concatenate([t[i] * top + t[i + 1] for i in (rest, in_second)]))
@@ -83,20 +83,23 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     empty = np.zeros(0, np.int64)
     if n < WIDTH:
         return empty, empty.view(np.uint64), empty.view(np.uint64), empty, empty
-    at = np.arange(n - K + 1)
-    grams = tx.range_hashes(buf, at, at + K)
+    grams = tx.byte_grams(buf, K)
     chosen = tx.sliding_min(grams, WIDTH - K + 1)
-    window = np.arange(len(chosen))
-    text_of = np.searchsorted(offsets, window, side="right") - 1
-    fits = window + WIDTH <= offsets[text_of + 1]
-    window, chosen, text_of = window[fits], chosen[fits], text_of[fits]
-    if not len(window):
+    long = offsets[1:] - offsets[:-1] >= WIDTH
+    edge = np.zeros(len(chosen) + 1, np.int8)
+    edge[offsets[:-1][long]] += 1
+    edge[offsets[1:][long] - WIDTH + 1] -= 1
+    inside = np.cumsum(edge, dtype=np.int8)[:-1] > 0  # windows that lie in one text
+    other = np.ones(len(chosen), bool)
+    other[1:] = (chosen[1:] != chosen[:-1]) | ~inside[:-1]
+    start = np.flatnonzero(inside & other)
+    if not len(start):
         return empty, empty.view(np.uint64), empty.view(np.uint64), empty, empty
-    fresh = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (window[1:] != window[:-1] + 1) | (text_of[1:] != text_of[:-1])]))
-    count = np.diff(np.append(fresh, len(window)))
-    start = window[fresh]
-    context = tx.range_hashes(buf, start, start + count + WIDTH - 1) ^ tx.mix((chosen[fresh] - start).astype(np.uint64))
-    return text_of[fresh], grams[chosen[fresh]], context, start, count
+    text_of = np.searchsorted(offsets, start, side="right") - 1
+    count = np.minimum(np.append(start[1:], len(chosen)), offsets[text_of + 1] - WIDTH + 1) - start
+    anchor = chosen[start]
+    context = tx.range_hashes(buf, start, start + count + WIDTH - 1) ^ tx.mix((anchor - start).astype(np.uint64))
+    return text_of, grams[anchor], context, start, count
 
 
 def _places(with_context: bool):

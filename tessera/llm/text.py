@@ -15,12 +15,12 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; one longer text is a slice of its own.
-MAX_SLICE = (1 << 20) - 64
+MAX_SLICE = (1 << 19) - 64
 
 with contextlib.suppress(AttributeError, OSError):  # where there is glibc: large arrays go back to the system when freed
     _libc = ctypes.CDLL(None)
-    _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-    _libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    _libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: above the arrays of a slice, which are used again
+    _libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -135,15 +135,27 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def byte_grams(codes: np.ndarray, k: int) -> np.ndarray:
+    """range_hashes of every k consecutive codes."""
+    n = len(codes)
+    if n < k:
+        return np.zeros(0, np.uint64)
+    p, q = _power_table(n + 1)
+    prefix = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(codes.astype(np.uint64) * p[:n], out=prefix[1:])
+    return mix((prefix[k:] - prefix[:-k]) * q[: n - k + 1] + np.uint64(k))
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Position of the leftmost minimum in each window of ``width`` values, in doubling steps."""
     n = len(values)
     if n < width or width < 1:
         return np.zeros(0, np.int64)
-    pos, span = np.arange(n), 1
+    pos, span = np.arange(n, dtype=np.int32), 1
     while span < width:
         step = min(span, width - span)
-        left, right = pos[: len(pos) - step], pos[step:]
-        pos = np.where(values[right] < values[left], right, left)
+        less = values[step:] < values[:-step]
+        pos = np.where(less, pos[step:], pos[:-step])
+        values = np.where(less, values[step:], values[:-step])
         span += step
-    return pos
+    return pos.astype(np.int64)

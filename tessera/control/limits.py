@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.shipping import ensure_shipped
+
 #: Fixed tiers: capacity and refill a second.
 TIERS = {"free": (10.0, 1.0), "developer": (100.0, 10.0), "team": (1000.0, 100.0), "enterprise": (10000.0, 1000.0)}
 KEY_PREFIX = "sk-"
@@ -42,6 +44,7 @@ class TokenBucket:
 def rate_limit(calls: DataFrame, capacity: float, refill: float, key: str = "user_id", at: str = "ts") -> DataFrame:
     """The calls with ``allowed``: a bucket for each key, calls in order of time. The fold over a key's calls is
     sequential by nature, so rows of a key stream through one task in order without being gathered in memory."""
+    ensure_shipped(calls.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in calls.schema.fields)
     order = [c for c in calls.columns if c not in (key, at)]
 

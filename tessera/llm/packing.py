@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.store import Store
+from tessera.llm.store import Store, prepare
 from tessera.llm.tokens import VOCABULARY, count_tokens
 
 CAPACITY = 2048
@@ -81,6 +81,7 @@ def pack(spark: SparkSession, sized: DataFrame, capacity: int = CAPACITY, shard:
     tokens has one row with null bin_id and no tokens. Pieces of one document conflict, as documents of one cluster or
     one source do; a null source conflicts with nothing. Repeated rows are packed each. Ties go to the smaller doc_id.
     """
+    prepare(spark)
     store = Store(spark, "packing")
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce("cluster", F.xxhash64("doc_id")).alias("cluster"), F.coalesce("n_tokens", F.lit(0)).alias("n")]
     sized = store.put("sized", sized.select(*columns))

@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the smallest doc_id stays."""
-    found = jaccard_groups(spark, docs)
+    """Of each group of documents linked by 5-word shingles of Jaccard 0.8 or more the one of the smallest doc_id stays."""
+    found = jaccard_groups(spark, docs, k=5, num=80, den=100)
     return without(docs, "doc_id", found.filter("doc_id <> component_id").select("doc_id"))
 
 

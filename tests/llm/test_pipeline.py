@@ -57,3 +57,21 @@ def test_empty_and_null_rows(spark, folder):
             assert out.count() >= len(rows), name
             if name != "packing":
                 docs = spark.createDataFrame(out.collect(), COLUMNS)
+
+
+def test_near_copies_with_scattered_edits_go(spark):
+    def edited(n, edits, name):
+        base = [f"{name}{i}" for i in range(n)]
+        copy = list(base)
+        for j in range(edits):
+            copy[(2 * j + 1) * n // (2 * edits)] = f"{name}new{j}"
+        return [" ".join(base), " ".join(copy)]
+
+    def alike(a, b):
+        x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+        return 10 * len(x & y) >= 8 * len(x | y)
+
+    texts = [t for n, edits, name in ((200, 4, "a"), (100, 2, "b"), (400, 7, "c"), (1000, 18, "d"), (200, 5, "e"), (100, 3, "f")) for t in edited(n, edits, name)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], COLUMNS)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id").collect()}
+    assert kept == {i for i in range(len(texts)) if i % 2 == 0 or not alike(texts[i - 1], texts[i])} == {0, 2, 4, 6, 8, 9, 10, 11}

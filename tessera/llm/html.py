@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from html.parser import HTMLParser
 
 import numpy as np
@@ -44,6 +43,8 @@ MARKS = frozenset(
 INNER = frozenset(("header", "masthead", "banner"))
 #: How surely an element holds the article.
 LEVEL = {"article": 2, "main": 1}
+#: Cells of an alignment table (16 MB); larger alignments are halved.
+CELLS = 4_000_000
 SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z0-9]+")
 
@@ -117,11 +118,43 @@ def page_lines(html: str | None) -> list[tuple[int, str]]:
     return parser.lines
 
 
+def _lengths(a: list[int], b: np.ndarray) -> np.ndarray:
+    """Lengths of longest common subsequences of a with every prefix of b, by bit-parallel rows (a bit for each of b's lines)."""
+    full = row = (1 << len(b)) - 1  # bit j is 0 where the length grows with b[j]
+    for x in a:
+        hit = row & int.from_bytes(np.packbits(b == np.uint64(x), bitorder="little").tobytes(), "little")
+        row = ((row + hit) | (row - hit)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-len(b) // 8), "little"), np.uint8), count=len(b), bitorder="little")
+    return np.concatenate([[0], np.cumsum(1 - bits, dtype=np.int64)])
+
+
+def _matched(a: list[int], b: np.ndarray) -> list[int]:
+    """Places in a of a longest common subsequence with b; what has more than CELLS cells is halved (Hirschberg), so memory is linear."""
+    if len(a) > 1 and len(a) * len(b) > CELLS:
+        half = len(a) // 2
+        at = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
+        return _matched(a[:half], b[:at]) + [half + i for i in _matched(a[half:], b[at:])]
+    table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    for i in range(len(a) - 1, -1, -1):
+        diagonal = table[i + 1, 1:] + (b == np.uint64(a[i]))
+        table[i, :-1] = np.maximum.accumulate(np.maximum(diagonal, table[i + 1, :-1])[::-1])[::-1]
+    i = j = 0
+    found = []
+    while i < len(a) and j < len(b):
+        if b[j] == np.uint64(a[i]) and table[i, j] == table[i + 1, j + 1] + 1:
+            found.append(i)
+            i, j = i + 1, j + 1
+        elif table[i + 1, j] >= table[i, j + 1]:
+            i += 1
+        else:
+            j += 1
+    return found
+
+
 def shared(own: list[int], other: list[int]) -> set[int]:
-    """Places of own's lines that a longest common subsequence with other holds: ends first, then the rest by length.
+    """Places of own's lines that a longest common subsequence with other holds, exact for pages of every length.
 
-    Common ends belong to some longest common subsequence; between them the dynamic programme runs over the
-    lines that both sides have, in rows of the shorter side.
+    Common ends belong to some longest common subsequence; between them it is sought over the lines that both sides have.
     """
     lo, n, m = 0, len(own), len(other)
     found = set()
@@ -134,25 +167,7 @@ def shared(own: list[int], other: list[int]) -> set[int]:
     common = set(own[lo:n]) & set(other[lo:m])
     a = [i for i in range(lo, n) if own[i] in common]
     b = np.array([x for x in other[lo:m] if x in common], np.uint64)
-    if not a or not len(b):
-        return found
-    if len(a) * len(b) > 4_000_000:  # very long pages: the longest matching blocks
-        match = SequenceMatcher(None, [own[i] for i in a], b.tolist(), autojunk=False)
-        return found | {a[s + k] for s, _, size in match.get_matching_blocks() for k in range(size)}
-    table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i in range(len(a) - 1, -1, -1):
-        diagonal = table[i + 1, 1:] + (b == np.uint64(own[a[i]]))
-        table[i, :-1] = np.maximum.accumulate(np.maximum(diagonal, table[i + 1, :-1])[::-1])[::-1]
-    i = j = 0
-    while i < len(a) and j < len(b):
-        if b[j] == np.uint64(own[a[i]]) and table[i, j] == table[i + 1, j + 1] + 1:
-            found.add(a[i])
-            i, j = i + 1, j + 1
-        elif table[i + 1, j] >= table[i, j + 1]:
-            i += 1
-        else:
-            j += 1
-    return found
+    return found | {a[i] for i in _matched([own[i] for i in a], b)}
 
 
 def _signed(text: str) -> int:

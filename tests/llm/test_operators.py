@@ -141,6 +141,21 @@ def test_shared_lines_are_a_longest_common_subsequence():
         assert all(a[i] in it for i in found)
 
 
+def test_shared_lines_of_very_long_pages_are_a_longest_common_subsequence(monkeypatch):
+    x, y, z = range(900), range(1000, 1900), range(2000, 3000)
+    own, other = [*x, 7000, *y, *z], [7000, *z, *x, *y]  # the longest block, z, is not on the longest common subsequence
+    assert len(own) * len(other) > 4_000_000
+    assert html.shared(own, other) == {*range(900), *range(901, 1801)}
+    rng = random.Random(4)
+    pairs = [[[rng.randrange(5) for _ in range(rng.randrange(40))] for _ in range(2)] for _ in range(200)]
+    whole = [len(html.shared(a, b)) for a, b in pairs]
+    monkeypatch.setattr(html, "CELLS", 3)
+    for (a, b), n in zip(pairs, whole, strict=True):
+        found = sorted(html.shared(a, b))
+        it = iter(b)
+        assert len(found) == n and all(a[i] in it for i in found)
+
+
 # 3 -------------------------------------------------------------------------------------------------------------------
 def hits(docs_, items):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -2,9 +2,10 @@
 
 A page is cut into text lines (blocks of text between block-level tags). Pages of one host are sorted by URL path, and
 each is paired with its neighbour of the nearest path; the line sequences of the pair are aligned by longest common
-subsequence, and shared lines are template, not content: they are deleted. Lines inside an article element are the
-author's, and two pages may rightly share them (reposts, quotations), so they are kept from deletion; where a page
-names no article, the alignment decides alone. Elements that are never content (menus, forms, scripts, adverts and
+subsequence, and shared lines are template, not content: they are deleted. Lines inside an article element (or main,
+where there is no article) are the author's, and two pages may rightly share them (reposts, quotations), so they are
+kept from deletion; of all other lines the alignment decides, on every page. Only a page that has nothing to be aligned
+with is its article alone, or all its lines if it names none. Elements that are never content (menus, forms, scripts, adverts and
 the like) are left out by name, role or class.
 
 Neighbours are found without gathering a host: the places are sorted by (host, path) in range partitions and numbered
@@ -174,6 +175,12 @@ def _signed(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
+def _open(lines: list[tuple[int, str]]) -> bool:
+    """Whether some line lies outside of the surest element, so that the alignment decides."""
+    surest = max((level for level, _ in lines), default=0)
+    return any(not level or level < surest for level, _ in lines)
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pages = [page_lines(h) for h in batch.column("html").to_pylist()]
@@ -181,7 +188,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 *(batch.column(c) for c in ("page_id", "host", "path")),
                 pa.array([[_signed(t) for _, t in lines] for lines in pages], pa.list_(pa.int64())),
-                pa.array([not any(level for level, _ in lines) for lines in pages]),
+                pa.array([_open(lines) for lines in pages]),
             ],
             ["page_id", "host", "path", "lines", "open"],
         )
@@ -198,23 +205,24 @@ def near(path: str, before: str | None, after: str | None) -> int:
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a place with the places before and after it to (host, path, template)."""
+    """Rows of a place with the places before and after it to (host, path, template); null without lines to align with."""
     for batch in batches:
         out = []
         for host, path, lines, h1, p1, l1, h2, p2, l2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             side = near(path, p1 if h1 == host else None, p2 if h2 == host else None)
             other = (l1 if side < 0 else l2 if side > 0 else None) or []
-            out.append(sorted({lines[i] for i in shared([x + (1 << 63) for x in lines], [x + (1 << 63) for x in other])}))
+            out.append(sorted({lines[i] for i in shared([x + (1 << 63) for x in lines], [x + (1 << 63) for x in other])}) if other else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["host", "path", "template"])
 
 
 def main_text(html: str | None, template: list[int] | None = None) -> str:
-    """Lines of the article; without an article element, all lines but those of the template."""
+    """Lines of the article and all others but those of the template; without a template (None), of the article alone if there is one."""
     lines = page_lines(html)
-    if surest := max((level for level, _ in lines), default=0):
+    surest = max((level for level, _ in lines), default=0)
+    if template is None:
         return "\n".join(t for level, t in lines if level == surest)
-    known = set(template or ())
-    return "\n".join(t for _, t in lines if _signed(t) not in known)
+    known = set(template)
+    return "\n".join(t for level, t in lines if (surest and level == surest) or _signed(t) not in known)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +234,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(spark: SparkSession, digests: DataFrame, store: Store) -> DataFrame:
-    """(host, path, template): digests of the lines that each place shares with the nearest other path of its host."""
+    """(host, path, template): digests of the lines that each place shares with the nearest other path of its host, where that has lines."""
     places = digests.groupBy("host", "path").agg(F.min_by("lines", F.struct("page_id", "lines")).alias("lines"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = places.repartitionByRange(parts, "host", "path").sortWithinPartitions("host", "path").withColumn("_id", F.monotonically_increasing_id())
@@ -243,7 +251,7 @@ def templates(spark: SparkSession, digests: DataFrame, store: Store) -> DataFram
     both = ranked.join(beside(1, 1), "at", "left").join(beside(-1, 2), "at", "left")
     columns = ["host", "path", "lines", "host1", "path1", "lines1", "host2", "path2", "lines2"]
     found = both.select(*columns).mapInArrow(_align, "host string, path string, template array<long>")
-    return store.put("templates", found.filter(F.size("template") > 0))
+    return store.put("templates", found.filter("template IS NOT NULL"))
 
 
 def extract_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -251,7 +259,8 @@ def extract_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     A null or empty html has an empty text. A page without url belongs to the host "" and path "". Pages of one host and
     path are one place, whose page of the smallest page_id is aligned; they are no partners of each other. A tie between
-    neighbours goes to the one before. Repeated rows get equal texts.
+    neighbours goes to the one before. Repeated rows get equal texts. Lines outside of the article go only where the
+    alignment finds them shared, or where there is no other page with lines to align with.
     """
     prepare(spark)
     store = Store(spark, "html")

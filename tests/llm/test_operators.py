@@ -123,6 +123,13 @@ def test_articles_before_main_and_without_comments():
     assert html.main_text("<p>unclosed <b>bold<p>next<ul><li>one<li>two</ul>tail") == "unclosed bold\nnext\none\ntwo\ntail"
 
 
+def test_lines_outside_of_the_article_are_decided_by_alignment(spark):
+    page = "<html><body><div>Site line</div><div>lead {0}</div><{1}><p>reposted</p><p>own {0}</p></{1}><div>Imprint</div></body></html>"
+    pages = [(1, "http://h.x/a/1", page.format(1, "article")), (2, "http://h.x/a/2", page.format(2, "article")), (3, "http://m.x/a/1", page.format(3, "main")), (4, "http://m.x/a/2", page.format(4, "div")), (5, "http://o.x/a", page.format(5, "article"))]
+    got = dict(rows(html.extract_text(spark, spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id", "text"))
+    assert got == {1: "lead 1\nreposted\nown 1", 2: "lead 2\nreposted\nown 2", 3: "lead 3\nreposted\nown 3", 4: "lead 4\nown 4", 5: "reposted\nown 5"}
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(3)
 

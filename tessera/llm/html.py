@@ -1,15 +1,18 @@
 """HTML extraction by nearest-URL page differencing.
 
 A page is cut into text lines (blocks of text between block-level tags). Pages of one host are sorted by URL path, and
-each is paired with its neighbour of the nearest path; the line sequences of the pair are aligned by longest common
-subsequence, and shared lines are template, not content: they are deleted. Lines inside an article element (or main,
-where there is no article) are the author's, and two pages may rightly share them (reposts, quotations), so they are
-kept from deletion; of all other lines the alignment decides, on every page. Only a page that has nothing to be aligned
-with is its article alone, or all its lines if it names none. Elements that are never content (menus, forms, scripts, adverts and
-the like) are left out by name, role or class.
-
-Neighbours are found without gathering a host: the places are sorted by (host, path) in range partitions and numbered
-through, and a place meets the ones before and after it by an equi-join on the number.
+each page is aligned, by longest common subsequence of lines, with up to PARTNERS pages of the nearest other paths. A
+place that the alignments share with more than half of its partners is template, not content: it is deleted. One
+partner that reposts the article so deletes nothing of it.
+
+Names only decide what the alignment leaves open. A line that is not shared goes if it stands in an element that is
+named as no content (menus, adverts, comments and the like, by element, role or class), since such text may differ on every page. A
+shared line stays if it stands in an article element (or main, where there is no article) that has lines of its own, as
+pages of one host may rightly share a line of their articles. A page without partners is its article alone, or all lines that
+are not named as no content.
+
+Neighbours are found without gathering a host: the places are sorted by (host, path) in range partitions, numbered through
+and cut into blocks of a fixed number, each with the few places before and behind it; a task streams over its blocks.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +28,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.store import Store, marks, prepare
+from tessera.llm.store import Store, prepare
 
 BLOCKS = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header"
     " hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
-DROPPED = frozenset("head script style template noscript nav header footer aside form dialog menu button select option textarea input iframe svg math object canvas audio video search".split())
+#: Elements whose text is never shown as text.
+DROPPED = frozenset("head script style template noscript button select option textarea input iframe svg math object canvas audio video".split())
+#: Elements that are named as no content.
+ASIDE = frozenset("nav header footer aside form dialog menu search".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style".split())
 CLOSES_P = BLOCKS - {"br", "option", "optgroup"}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of a class or id that mark what is not the article.
@@ -46,18 +52,26 @@ INNER = frozenset(("header", "masthead", "banner"))
 LEVEL = {"article": 2, "main": 1}
 #: Cells of an alignment table (16 MB); larger alignments are halved.
 CELLS = 4_000_000
+PARTNERS = 4  # pages that a page is aligned with
+REACH = 4  # places before and behind in the order of paths that they are taken from
+BLOCK = 512  # places of a block, REACH at least
 SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
 class _Lines(HTMLParser):
-    """(level, text) of each block of text, in page order; level 2 is in an article element, 1 in main, 0 in neither."""
+    """(mark, text) of each block of text, in page order. A mark is holder * 8 + level * 2 + named.
+
+    The holder is the number of the outermost article (level 2) or main (level 1) element the line is in, and 0 if there
+    is none (level 0); named is 1 in an element named as no content.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[int, str]] = []
         self.parts: list[str] = []
-        self.open: list[tuple[str, bool, int]] = []  # tag, dropped from here on, level from here on
+        self.open: list[tuple[str, bool, int]] = []  # tag, dropped from here on, mark from here on
+        self.holders = 0
 
     def _break(self):
         if self.parts:
@@ -66,12 +80,12 @@ class _Lines(HTMLParser):
             if text:
                 self.lines.append((self.open[-1][2] if self.open else 0, text))
 
-    def _unwanted(self, tag: str, attrs: dict[str, str | None], level: int) -> bool:
-        if tag in DROPPED and not (tag == "header" and level):
+    def _named(self, tag: str, attrs: dict[str, str | None], level: int) -> bool:
+        if tag in ASIDE and not (tag == "header" and level):
             return True
         if tag in ("html", "body", "main"):
             return False
-        if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or (attrs.get("role") or "").lower() in ROLES:
+        if (attrs.get("role") or "").lower() in ROLES:
             return True
         marks_here = MARKS - INNER if level or tag in LEVEL else MARKS
         return any(not marks_here.isdisjoint(_WORDS.findall((attrs.get(a) or "").lower())) for a in ("class", "id"))
@@ -85,8 +99,18 @@ class _Lines(HTMLParser):
             self.open.pop()
         if tag in VOID:
             return
-        _, dropped, level = self.open[-1] if self.open else ("", False, 0)
-        self.open.append((tag, dropped or self._unwanted(tag, dict(attrs), level), max(level, LEVEL.get(tag, 0))))
+        _, dropped, mark = self.open[-1] if self.open else ("", False, 0)
+        if attrs or tag in ASIDE or tag in DROPPED or tag in LEVEL:
+            own = dict(attrs)
+            hidden = "hidden" in own or (own.get("aria-hidden") or "").lower() == "true"
+            dropped = dropped or tag in DROPPED or (hidden and tag not in ("html", "body", "main"))
+            level = mark >> 1 & 3
+            named = mark & 1 or self._named(tag, own, level)
+            if LEVEL.get(tag, 0) > level:
+                self.holders += 1
+                mark = self.holders * 8 + LEVEL[tag] * 2
+            mark = mark & ~1 | int(named)
+        self.open.append((tag, dropped, mark))
 
     def _close(self, tag):
         for i in range(len(self.open) - 1, -1, -1):
@@ -111,7 +135,7 @@ class _Lines(HTMLParser):
 
 
 def page_lines(html: str | None) -> list[tuple[int, str]]:
-    """The text lines of a page outside of dropped elements, each with its level."""
+    """The text lines of a page outside of dropped elements, each with its mark."""
     parser = _Lines()
     parser.feed(html or "")
     parser.close()
@@ -123,7 +147,7 @@ def _lengths(a: list[int], b: np.ndarray) -> np.ndarray:
     """Lengths of longest common subsequences of a with every prefix of b, by bit-parallel rows (a bit for each of b's lines)."""
     full = row = (1 << len(b)) - 1  # bit j is 0 where the length grows with b[j]
     for x in a:
-        hit = row & int.from_bytes(np.packbits(b == np.uint64(x), bitorder="little").tobytes(), "little")
+        hit = row & int.from_bytes(np.packbits(b == np.int64(x), bitorder="little").tobytes(), "little")
         row = ((row + hit) | (row - hit)) & full
     bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-len(b) // 8), "little"), np.uint8), count=len(b), bitorder="little")
     return np.concatenate([[0], np.cumsum(1 - bits, dtype=np.int64)])
@@ -137,12 +161,12 @@ def _matched(a: list[int], b: np.ndarray) -> list[int]:
         return _matched(a[:half], b[:at]) + [half + i for i in _matched(a[half:], b[at:])]
     table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
     for i in range(len(a) - 1, -1, -1):
-        diagonal = table[i + 1, 1:] + (b == np.uint64(a[i]))
+        diagonal = table[i + 1, 1:] + (b == np.int64(a[i]))
         table[i, :-1] = np.maximum.accumulate(np.maximum(diagonal, table[i + 1, :-1])[::-1])[::-1]
     i = j = 0
     found = []
     while i < len(a) and j < len(b):
-        if b[j] == np.uint64(a[i]) and table[i, j] == table[i + 1, j + 1] + 1:
+        if b[j] == np.int64(a[i]) and table[i, j] == table[i + 1, j + 1] + 1:
             found.append(i)
             i, j = i + 1, j + 1
         elif table[i + 1, j] >= table[i, j + 1]:
@@ -167,7 +191,7 @@ def shared(own: list[int], other: list[int]) -> set[int]:
         found.add(n)
     common = set(own[lo:n]) & set(other[lo:m])
     a = [i for i in range(lo, n) if own[i] in common]
-    b = np.array([x for x in other[lo:m] if x in common], np.uint64)
+    b = np.array([x for x in other[lo:m] if x in common], np.int64)
     return found | {a[i] for i in _matched([own[i] for i in a], b)}
 
 
@@ -175,67 +199,101 @@ def _signed(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def _open(lines: list[tuple[int, str]]) -> bool:
-    """Whether some line lies outside of the surest element, so that the alignment decides."""
-    surest = max((level for level, _ in lines), default=0)
-    return any(not level or level < surest for level, _ in lines)
+def partners(path: str, lines: list[int], before: list[tuple[str, list[int]]], after: list[tuple[str, list[int]]]) -> list[list[int]]:
+    """Lines of up to PARTNERS of the places (path, lines) before and after a place, both nearest first.
+
+    Those that share the longer start of the path come first, on a tie the one fewer places away, then the one before.
+    Copies tell nothing: places of equal lines are left out, and those of which nine in ten lines are equal come last.
+    """
+    own = set(lines)
+    found = []
+    for side, places in enumerate((before, after)):
+        for step, (other, theirs) in enumerate(places):
+            if theirs != lines:
+                common = next((i for i, (a, b) in enumerate(zip(path, other, strict=False)) if a != b), min(len(path), len(other)))
+                them = set(theirs)
+                found.append((10 * len(own & them) >= 9 * max(len(own), len(them)), -common, step, side, theirs))
+    return [f[-1] for f in sorted(found, key=lambda f: f[:4])[:PARTNERS]]
+
+
+def kept_lines(marks: list[int], votes: list[int], asked: int) -> list[int]:
+    """Places of the lines that are content: marks of the lines, in how many of the asked alignments each is shared."""
+    plain = [i for i, m in enumerate(marks) if not m & 1]
+    surest = max((marks[i] >> 1 & 3 for i in plain), default=0)
+    own = {i for i in plain if 2 * votes[i] <= asked}
+    if not asked or not own:
+        return [i for i in plain if marks[i] >> 1 & 3 == surest]
+    held = [i for i in plain if surest and marks[i] >> 1 & 3 == surest]
+    sure = {marks[i] for i in held if i in own} or {marks[i] for i in held}
+    return [i for i in plain if i in own or marks[i] in sure]
+
+
+def votes_of(own: list[int], others: list[list[int]]) -> list[int]:
+    """In how many of the alignments with others each line of own is shared."""
+    votes = [0] * len(own)
+    for other in others:
+        for i in shared(own, other):
+            votes[i] += 1
+    return votes
+
+
+def main_text(html: str | None, others: list[list[int]] = ()) -> str:
+    """The content of a page that is aligned with the line digests of others."""
+    lines = page_lines(html)
+    votes = votes_of([_signed(t) for _, t in lines], others)
+    return "\n".join(lines[i][1] for i in kept_lines([m for m, _ in lines], votes, len(others)))
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pages = [page_lines(h) for h in batch.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
-                *(batch.column(c) for c in ("page_id", "host", "path")),
+                *(batch.column(c) for c in ("page_id", "url", "host", "path")),
                 pa.array([[_signed(t) for _, t in lines] for lines in pages], pa.list_(pa.int64())),
-                pa.array([_open(lines) for lines in pages]),
+                pa.array([[m for m, _ in lines] for lines in pages], pa.list_(pa.int32())),
+                pa.array([[t for _, t in lines] for lines in pages], pa.list_(pa.string())),
             ],
-            ["page_id", "host", "path", "lines", "open"],
+            ["page_id", "url", "host", "path", "lines", "marks", "texts"],
         )
 
 
-def near(path: str, before: str | None, after: str | None) -> int:
-    """-1 or 1: the neighbour that shares the longer start of the path, the one before on a tie; 0: there is none."""
-
-    def common(other: str | None) -> int:
-        return -1 if other is None else next((i for i, (a, b) in enumerate(zip(path, other, strict=False)) if a != b), min(len(path), len(other)))
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
-    b, a = common(before), common(after)
-    return 0 if b < 0 and a < 0 else -1 if b >= a else 1
 
+def _meet(size: int):
+    """Sorted rows (block, at, host, path, lines) to (host, path, others); the places of one block are held at once."""
 
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a place with the places before and after it to (host, path, template); null without lines to align with."""
-    for batch in batches:
-        out = []
-        for host, path, lines, h1, p1, l1, h2, p2, l2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            side = near(path, p1 if h1 == host else None, p2 if h2 == host else None)
-            other = (l1 if side < 0 else l2 if side > 0 else None) or []
-            out.append(sorted({lines[i] for i in shared([x + (1 << 63) for x in lines], [x + (1 << 63) for x in other])}) if other else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["host", "path", "template"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in groupby(_rows(batches), key=lambda r: r[0]):
+            rows = list(rows)
+            out = []
+            for i, (_, at, host, path, lines) in enumerate(rows):
+                if at // size == block:
+                    near = [[(p, x) for _, _, h, p, x in part if h == host] for part in (rows[max(0, i - REACH) : i][::-1], rows[i + 1 : i + 1 + REACH])]
+                    if others := partners(path, lines, *near):
+                        out.append((host, path, others))
+            for lo in range(0, len(out), 64):
+                columns = zip(*out[lo : lo + 64], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.list_(pa.list_(pa.int64()))), strict=True)], ["host", "path", "others"])
 
-
-def main_text(html: str | None, template: list[int] | None = None) -> str:
-    """Lines of the article and all others but those of the template; without a template (None), of the article alone if there is one."""
-    lines = page_lines(html)
-    surest = max((level for level, _ in lines), default=0)
-    if template is None:
-        return "\n".join(t for level, t in lines if level == surest)
-    known = set(template)
-    return "\n".join(t for level, t in lines if (surest and level == surest) or _signed(t) not in known)
+    return run
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names = batch.schema.names
-        templates = batch.column("template").to_pylist() if "template" in names else [None] * batch.num_rows
-        texts = [main_text(h, t) for h, t in zip(batch.column("html").to_pylist(), templates, strict=True)]
+        texts = []
+        for own, marks, lines, others in zip(*(batch.column(c).to_pylist() for c in ("lines", "marks", "texts", "others")), strict=True):
+            others = others or []
+            texts.append("\n".join(lines[i] for i in kept_lines(marks, votes_of(own, others), len(others))))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-def templates(spark: SparkSession, digests: DataFrame, store: Store) -> DataFrame:
-    """(host, path, template): digests of the lines that each place shares with the nearest other path of its host, where that has lines."""
-    places = digests.groupBy("host", "path").agg(F.min_by("lines", F.struct("page_id", "lines")).alias("lines"))
+def neighbours(spark: SparkSession, pages: DataFrame, store: Store) -> DataFrame:
+    """(host, path, others): of each place with lines, the lines of its partners; no row where there are none."""
+    places = pages.filter("size(lines) > 0").groupBy("host", "path").agg(F.min_by("lines", F.struct("page_id", "lines")).alias("lines"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = places.repartitionByRange(parts, "host", "path").sortWithinPartitions("host", "path").withColumn("_id", F.monotonically_increasing_id())
     placed = store.put("places", placed.select("*", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_row")))
@@ -243,39 +301,31 @@ def templates(spark: SparkSession, digests: DataFrame, store: Store) -> DataFram
     for r in placed.groupBy("_part").agg(F.count("*").alias("c")).orderBy("_part").collect():  # a row for each partition
         offsets.append((r["_part"], total))
         total += r["c"]
-    if not offsets:
-        return placed.select("host", "path", F.col("lines").alias("template"))
     starts = F.broadcast(spark.createDataFrame(offsets, "_part long, _start long"))
     ranked = placed.join(starts, "_part").select((F.col("_start") + F.col("_row")).alias("at"), "host", "path", "lines")
-    beside = lambda step, tag: ranked.select((F.col("at") + step).alias("at"), *(F.col(c).alias(f"{c}{tag}") for c in ("host", "path", "lines")))
-    both = ranked.join(beside(1, 1), "at", "left").join(beside(-1, 2), "at", "left")
-    columns = ["host", "path", "lines", "host1", "path1", "lines1", "host2", "path2", "lines2"]
-    found = both.select(*columns).mapInArrow(_align, "host string, path string, template array<long>")
-    return store.put("templates", found.filter("template IS NOT NULL"))
+    blocks = F.expr(f"array_distinct(array((at - {REACH}) div {BLOCK}, at div {BLOCK}, (at + {REACH}) div {BLOCK}))")
+    dealt = ranked.select(F.explode(blocks).alias("block"), "at", "host", "path", "lines").repartition("block").sortWithinPartitions("block", "at")
+    return dealt.mapInArrow(_meet(BLOCK), "host string, path string, others array<array<long>>")
 
 
 def extract_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Return page_id, url, text for every row of pages (page_id, url, html, any others).
 
     A null or empty html has an empty text. A page without url belongs to the host "" and path "". Pages of one host and
-    path are one place, whose page of the smallest page_id is aligned; they are no partners of each other. A tie between
-    neighbours goes to the one before. Repeated rows get equal texts. Lines outside of the article go only where the
-    alignment finds them shared, or where there is no other page with lines to align with.
+    path are one place: each is aligned with the partners of the place, none with another page of it, and the page of the
+    smallest page_id with lines stands for it to other places. Pages of any length are aligned whole. Repeated rows
+    get equal texts. Where several longest common subsequences exist, the places of the first are taken.
     """
     prepare(spark)
     store = Store(spark, "html")
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     path = F.regexp_replace(F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", ""), r"(\.html?|/)$", "")
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-    pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"), path.alias("path"))
-    digests = store.put("digests", pages.mapInArrow(_digest, "page_id long, host string, path string, lines array<long>, open boolean"))
-    found = templates(spark, digests, store)
-    wanted = digests.filter("open AND size(lines) > 0").select(F.xxhash64("host", "path").alias("place")).distinct()
-    marked = marks(pages.withColumn("place", F.xxhash64("host", "path")), "place", wanted, "place").drop("place")
-    alone = marked.filter("NOT _hit").select("page_id", "url", "html")
-    joined = marked.filter("_hit").drop("_hit").join(found, ["host", "path"], "left").select("page_id", "url", "html", "template")
-    schema = "page_id long, url string, text string"
-    return alone.mapInArrow(_extract, schema).union(joined.mapInArrow(_extract, schema))
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"), path.alias("path"))
+    lines = "page_id long, url string, host string, path string, lines array<long>, marks array<int>, texts array<string>"
+    cut = store.put("lines", pages.mapInArrow(_parse, lines))
+    met = cut.join(neighbours(spark, cut, store), ["host", "path"], "left").select("page_id", "url", "lines", "marks", "texts", "others")
+    return met.mapInArrow(_decide, "page_id long, url string, text string")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

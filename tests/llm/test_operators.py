@@ -130,6 +130,70 @@ def test_lines_outside_of_the_article_are_decided_by_alignment(spark):
     assert got == {1: "lead 1\nreposted\nown 1", 2: "lead 2\nreposted\nown 2", 3: "lead 3\nreposted\nown 3", 4: "lead 4\nown 4", 5: "reposted\nown 5"}
 
 
+def whole_operator(pages):
+    """The operator by plain lists: lines of every page stand in one global order, so that shared lines are an intersection."""
+
+    def cut(html_):
+        return [(m, t) for m, t in html.page_lines(html_)]
+
+    def place(url):
+        host, _, path = re.sub(r"^[a-z]+://", "", re.sub(r"[?#].*", "", url or "")).partition("/")
+        return (host.lower(), re.sub(r"(\.html?|/)$", "", "/" + path if path or "/" in (url or "")[8:] else "")) if "://" in (url or "") else ("", url or "")
+
+    stands = {}
+    for i, url, h in sorted(pages, key=lambda p: p[0]):
+        if cut(h):
+            stands.setdefault(place(url), [t for _, t in cut(h)])
+    out = []
+    for i, url, h in pages:
+        host, path = place(url)
+        paths = sorted(p for g, p in stands if g == host)
+        others = []
+        if (host, path) in stands:
+            at, own = paths.index(path), stands[host, path]
+            for step in range(1, 5):
+                for side, j in enumerate((at - step, at + step)):
+                    if 0 <= j < len(paths) and stands[host, paths[j]] != own:
+                        them, common = stands[host, paths[j]], 0
+                        while common < min(len(path), len(paths[j])) and path[common] == paths[j][common]:
+                            common += 1
+                        others.append((10 * len(set(own) & set(them)) >= 9 * max(len(set(own)), len(set(them))), -common, step, side, them))
+        others = [set(o[-1]) for o in sorted(others)[:4]]
+        lines = cut(h)
+        gone = {t for _, t in lines if 2 * sum(t in o for o in others) > len(others)}
+        plain = [(m, t) for m, t in lines if not m % 2]
+        inside = [(m, t) for m, t in plain if m and m // 2 % 4 == max(x // 2 % 4 for x, _ in plain)]
+        if not others or all(t in gone for _, t in plain):
+            text_ = inside or plain
+        else:
+            holders = {m for m, t in inside if t not in gone} or {m for m, _ in inside}
+            text_ = [(m, t) for m, t in plain if t not in gone or m in holders]
+        out.append((i, "\n".join(t for _, t in text_)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [512, 5])
+def test_html_extraction_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(html, "BLOCK", block)
+    rng = random.Random(6)
+    pages = []
+    for i in range(160):
+        menu = "".join(f"<li>menu {k}</li>" for k in range(rng.randrange(2, 6)))
+        ad = f"<div class='ad'>ad {rng.randrange(3)}</div>" if rng.random() < 0.5 else f"<div>banner {rng.randrange(2)}</div>"
+        body = "".join(f"<p>text {rng.randrange(10 * k, 10 * k + (3 if rng.random() < 0.3 else 9)):04}</p>" for k in range(rng.randrange(1, 8)))
+        tag = rng.choice(("article", "main", "div", "section"))
+        teaser = "<article>zz teaser</article>" if rng.random() < 0.3 else ""
+        foot = f"<div>zzz foot {rng.randrange(2)}</div><div>zzzz imprint</div>"
+        h = rng.choice((None, "", "<p></p>")) if rng.random() < 0.05 else f"<html><body><ul>{menu}</ul>{ad}<{tag}>{body}</{tag}>{teaser}{foot}</body></html>"
+        url = rng.choice(("", ".html", "/", "?a=1", "#x")).join((f"http://{rng.choice(('One', 'two', 'three', f'single{i}'))}.example/{rng.choice(('a', 'b/c'))}/{rng.randrange(60)}", ""))
+        pages.append((i, url if rng.random() < 0.95 else None, h))
+    frame = spark.createDataFrame(pages, "page_id int, url string, html string").repartition(5)
+    found = rows(html.extract_text(spark, frame), "page_id", "text")
+    assert found == whole_operator(pages)
+    monkeypatch.setattr(html, "partners", lambda *a: [])  # without alignments the texts differ
+    assert found != sorted((i, html.main_text(h)) for i, _, h in pages)
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(3)
 

@@ -244,18 +244,30 @@ def main_text(html: str | None, others: list[list[int]] = ()) -> str:
     return "\n".join(lines[i][1] for i in kept_lines([m for m, _ in lines], votes, len(others)))
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pages = [page_lines(h) for h in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [
-                *(batch.column(c) for c in ("page_id", "url", "host", "path")),
-                pa.array([[_signed(t) for _, t in lines] for lines in pages], pa.list_(pa.int64())),
-                pa.array([[m for m, _ in lines] for lines in pages], pa.list_(pa.int32())),
-                pa.array([[t for _, t in lines] for lines in pages], pa.list_(pa.string())),
-            ],
-            ["page_id", "url", "host", "path", "lines", "marks", "texts"],
-        )
+def _squeeze(lines: list[tuple[int, str]]) -> bytes:
+    """Length of what follows, compressed: the marks, then the texts, a line each (white space in them is single spaces)."""
+    raw = np.array([m for m, _ in lines], np.int32).tobytes() + "\n".join(t for _, t in lines).encode()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unsqueeze(data: bytes, n: int) -> tuple[list[int], list[str]]:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    return np.frombuffer(raw, np.int32, n).tolist(), raw[4 * n :].decode().split("\n") if n else []
+
+
+def _parse(whole: bool):
+    """Pages to the digests of their lines, and if whole to the lines themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages = [page_lines(h) for h in batch.column("html").to_pylist()]
+            columns = {c: batch.column(c) for c in (("page_id", "url") if whole else ("page_id",)) + ("host", "path")}
+            columns["lines"] = pa.array([[_signed(t) for _, t in lines] for lines in pages], pa.list_(pa.int64()))
+            if whole:
+                columns["page"] = pa.array([_squeeze([(m, "" if m & 1 else t) for m, t in lines]) for lines in pages], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return run
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -264,36 +276,45 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def _meet(size: int):
-    """Sorted rows (block, at, host, path, lines) to (host, path, others); the places of one block are held at once."""
+    """Sorted rows (block, at, host, path, lines, more) to (host, path, lines, votes, asked, others); the places of one block are held at once.
+
+    lines and others, which only pages that differ from the place's own lines need, are there only where there are more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.string(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.list_(pa.list_(pa.int64())))
         for block, rows in groupby(_rows(batches), key=lambda r: r[0]):
             rows = list(rows)
             out = []
-            for i, (_, at, host, path, lines) in enumerate(rows):
+            for i, (_, at, host, path, lines, more) in enumerate(rows):
                 if at // size == block:
-                    near = [[(p, x) for _, _, h, p, x in part if h == host] for part in (rows[max(0, i - REACH) : i][::-1], rows[i + 1 : i + 1 + REACH])]
+                    near = [[(r[3], r[4]) for r in part if r[2] == host] for part in (rows[max(0, i - REACH) : i][::-1], rows[i + 1 : i + 1 + REACH])]
                     if others := partners(path, lines, *near):
-                        out.append((host, path, others))
+                        out.append((host, path, lines if more else None, bytes(votes_of(lines, others)), len(others), others if more else None))
             for lo in range(0, len(out), 64):
                 columns = zip(*out[lo : lo + 64], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.list_(pa.list_(pa.int64()))), strict=True)], ["host", "path", "others"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "path", "first", "votes", "asked", "others"])
 
     return run
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    columns = ("lines", "page", "first", "votes", "asked", "others")
     for batch in batches:
         texts = []
-        for own, marks, lines, others in zip(*(batch.column(c).to_pylist() for c in ("lines", "marks", "texts", "others")), strict=True):
-            others = others or []
-            texts.append("\n".join(lines[i] for i in kept_lines(marks, votes_of(own, others), len(others))))
+        for own, page, first, votes, asked, others in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            marks, lines = _unsqueeze(page, len(own))
+            if others is not None and first != own:
+                votes = votes_of(own, others)
+            texts.append("\n".join(lines[i] for i in kept_lines(marks, votes or [0] * len(own), asked or 0)))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-def neighbours(spark: SparkSession, pages: DataFrame, store: Store) -> DataFrame:
-    """(host, path, others): of each place with lines, the lines of its partners; no row where there are none."""
-    places = pages.filter("size(lines) > 0").groupBy("host", "path").agg(F.min_by("lines", F.struct("page_id", "lines")).alias("lines"))
+def alignments(spark: SparkSession, pages: DataFrame, store: Store) -> DataFrame:
+    """(host, path, first, votes, asked, others) of each place with partners: how often each of its lines is shared with them."""
+    places = pages.filter("size(lines) > 0").groupBy("host", "path").agg(
+        F.min_by("lines", F.struct("page_id", F.xxhash64("lines"))).alias("lines"), (F.min(F.xxhash64("lines")) < F.max(F.xxhash64("lines"))).alias("more")
+    )
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = places.repartitionByRange(parts, "host", "path").sortWithinPartitions("host", "path").withColumn("_id", F.monotonically_increasing_id())
     placed = store.put("places", placed.select("*", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_row")))
@@ -302,10 +323,10 @@ def neighbours(spark: SparkSession, pages: DataFrame, store: Store) -> DataFrame
         offsets.append((r["_part"], total))
         total += r["c"]
     starts = F.broadcast(spark.createDataFrame(offsets, "_part long, _start long"))
-    ranked = placed.join(starts, "_part").select((F.col("_start") + F.col("_row")).alias("at"), "host", "path", "lines")
+    ranked = placed.join(starts, "_part").select((F.col("_start") + F.col("_row")).alias("at"), "host", "path", "lines", "more")
     blocks = F.expr(f"array_distinct(array((at - {REACH}) div {BLOCK}, at div {BLOCK}, (at + {REACH}) div {BLOCK}))")
-    dealt = ranked.select(F.explode(blocks).alias("block"), "at", "host", "path", "lines").repartition("block").sortWithinPartitions("block", "at")
-    return dealt.mapInArrow(_meet(BLOCK), "host string, path string, others array<array<long>>")
+    dealt = ranked.select(F.explode(blocks).alias("block"), "at", "host", "path", "lines", "more").repartition("block").sortWithinPartitions("block", "at")
+    return dealt.mapInArrow(_meet(BLOCK), "host string, path string, first array<long>, votes binary, asked int, others array<array<long>>")
 
 
 def extract_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -322,9 +343,9 @@ def extract_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     path = F.regexp_replace(F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", ""), r"(\.html?|/)$", "")
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"), path.alias("path"))
-    lines = "page_id long, url string, host string, path string, lines array<long>, marks array<int>, texts array<string>"
-    cut = store.put("lines", pages.mapInArrow(_parse, lines))
-    met = cut.join(neighbours(spark, cut, store), ["host", "path"], "left").select("page_id", "url", "lines", "marks", "texts", "others")
+    digests = store.put("digests", pages.mapInArrow(_parse(False), "page_id long, host string, path string, lines array<long>"))
+    cut = pages.mapInArrow(_parse(True), "page_id long, url string, host string, path string, lines array<long>, page binary")
+    met = cut.join(alignments(spark, digests, store), ["host", "path"], "left").drop("host", "path")
     return met.mapInArrow(_decide, "page_id long, url string, text string")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.shipping import ensure_shipped
 from tessera.sources.shared import Store, shared_dir
 
-__all__ = ["Store", "components", "likely_in", "marks", "prepare", "shared_dir", "without"]
+__all__ = ["Store", "components", "likely_in", "marks", "prepare", "shared_dir", "versions", "without"]
 
 #: Bits of the bounded membership bitmap; 2**22 bits are at most 65,536 rows of 64 bits on the driver.
 BITMAP_BITS = 22
@@ -55,6 +55,18 @@ def without(frame: DataFrame, key: str, unwanted: DataFrame) -> DataFrame:
     return marked.filter("NOT _hit").select(*frame.columns).union(rest)
 
 
+def versions(spark: SparkSession, texts: DataFrame) -> DataFrame:
+    """texts (doc_id, text) with v: 0, or a hash of the text for rows whose doc_id also has rows of another text."""
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    mixed = texts.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(own).alias("_lo"), F.max(own).alias("_hi")).filter("_lo < _hi").select("doc_id")
+    mixed = Store(spark, "versions").put("mixed", mixed)
+    if mixed.isEmpty():
+        return texts.withColumn("v", F.lit(0).cast("long"))
+    marked = marks(texts, "doc_id", mixed, "doc_id")
+    met = marked.filter("_hit").drop("_hit").join(mixed.withColumn("_more", F.lit(True)), "doc_id", "left").select("doc_id", "text", F.when(F.col("_more"), own).otherwise(F.lit(0)).cast("long").alias("v"))
+    return marked.filter("NOT _hit").select("doc_id", "text", F.lit(0).cast("long").alias("v")).union(met)
+
+
 def components(store: Store, edges: DataFrame, name: str = "cc", most: int = 60) -> DataFrame:
     """(id, comp): the smallest id reachable from each id that has an edge (a, b), by alternating stars.
 

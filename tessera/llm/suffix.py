@@ -12,12 +12,17 @@ shuffled at a tolerable cost, so the text that is sorted is first reduced to wha
    class follows from its first byte and the rank behind it, and both orders are merged. Suffixes beside each other are
    compared over WIDTH bytes; of an equal run all but the first place in the corpus are repeats.
 4. An anchor with more than HOT contexts (a passage that a large part of the corpus holds, each time between other words)
-   would fill a bucket: its windows are dealt one by one by their hash instead.
+   would fill a bucket. Equal windows have the anchor at the same place, so the contexts are split by that place in halves, and
+   each half is a key with contexts of its own: equal ones are one again (by their bytes), and what is left is sorted in a bucket or
+   split further, down to single windows, which are all different once equal ones are one.
+
+Contexts are equal if 128 bits of two independent hashes are; buckets and halves compare bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import text as tx
-from tessera.llm.store import Store, likely_in, marks, prepare
+from tessera.llm.store import Store, likely_in, marks, prepare, versions
 
 WIDTH = 100
 K = 32
-HOT = 2048
+HOT = 2048  # contexts of one key in a bucket
 BUCKET_ROWS = 4096  # contexts of a bucket, about 140 bytes each
 
 
@@ -77,12 +82,15 @@ def difference_cover(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, anchor hash, context hash, first window, windows) of every place of an anchor; windows count from the slice's start."""
+def anchors(buf: np.ndarray, offsets: np.ndarray, with_context: bool = True) -> tuple[np.ndarray, ...]:
+    """(text, anchor hash, first window, windows, anchor, context hash, other hash) of every place of an anchor.
+
+    Windows and anchors count from the slice's start; without context the hashes of it are left out.
+    """
     n = len(buf)
     empty = np.zeros(0, np.int64)
     if n < WIDTH:
-        return empty, empty.view(np.uint64), empty.view(np.uint64), empty, empty
+        return empty, empty.view(np.uint64), empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
     grams = tx.byte_grams(buf, K)
     chosen = tx.sliding_min(grams, WIDTH - K + 1)
     long = offsets[1:] - offsets[:-1] >= WIDTH
@@ -94,39 +102,46 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     other[1:] = (chosen[1:] != chosen[:-1]) | ~inside[:-1]
     start = np.flatnonzero(inside & other)
     if not len(start):
-        return empty, empty.view(np.uint64), empty.view(np.uint64), empty, empty
+        return empty, empty.view(np.uint64), empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
     text_of = np.searchsorted(offsets, start, side="right") - 1
     count = np.minimum(np.append(start[1:], len(chosen)), offsets[text_of + 1] - WIDTH + 1) - start
     anchor = chosen[start]
-    context = tx.range_hashes(buf, start, start + count + WIDTH - 1) ^ tx.mix((anchor - start).astype(np.uint64))
-    return text_of, grams[anchor], context, start, count
+    if not with_context:
+        return text_of, grams[anchor], start, count, anchor, empty.view(np.uint64), empty.view(np.uint64)
+    place = tx.mix((anchor - start).astype(np.uint64))
+    both = (h(buf, start, start + count + WIDTH - 1) ^ place for h in (tx.range_hashes, tx.other_range_hashes))
+    return text_of, grams[anchor], start, count, anchor, *both
 
 
 def _places(with_context: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, _, buf, offsets in tx.slices(batch.column(1)):
-                text, anchor, context, start, count = anchors(buf, offsets)
+            ids, v = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "v"))
+            for lo, _, buf, offsets in tx.slices(batch.column("text")):
+                text, gram, start, count, anchor, context, other = anchors(buf, offsets, with_context)
                 if not len(text):
                     continue
-                columns = {"anchor": pa.array(anchor.view(np.int64))}
+                columns = {"anchor": pa.array(gram.view(np.int64))}
                 if with_context:
-                    columns |= {"context": pa.array(context.view(np.int64)), "doc_id": pa.array(ids[lo + text], pa.int64()), "start": pa.array((start - offsets[text]).astype(np.int32)), "n": pa.array(count.astype(np.int16))}
+                    columns |= {"context": pa.array(context.view(np.int64)), "other": pa.array(other.view(np.int64)), "doc_id": pa.array(ids[lo + text], pa.int64()), "v": pa.array(v[lo + text], pa.int64())}
+                    columns |= {"start": pa.array((start - offsets[text]).astype(np.int32)), "n": pa.array(count.astype(np.int16)), "at": pa.array((anchor - start).astype(np.int16))}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
+_ENTRY = {"anchor": pa.int64(), "doc_id": pa.int64(), "v": pa.int64(), "start": pa.int32(), "at": pa.int16(), "bytes": pa.binary()}
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, [(start, n, anchor)]) to a row for each context with its bytes."""
+    """(doc_id, v, text, [(start, n, at, anchor)]) to a row for each context with its bytes."""
     for batch in batches:
         rows: list[tuple] = []
-        for doc, text, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for doc, v, text, entries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = text.encode()
-            rows += [(e["anchor"], doc, e["start"], raw[e["start"] : e["start"] + e["n"] + WIDTH - 1]) for e in entries]
+            rows += [(e["anchor"], doc, v, e["start"], e["at"], raw[e["start"] : e["start"] + e["n"] + WIDTH - 1]) for e in entries]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["anchor", "doc_id", "start", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _ENTRY.values(), strict=True)], list(_ENTRY))
 
 
 def equal_runs(text: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
@@ -141,7 +156,7 @@ def equal_runs(text: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(apart)]) if len(order) else np.zeros(0, np.int64)
 
 
-def repeats_of(docs: np.ndarray, starts: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def repeats_of(docs: np.ndarray, v: np.ndarray, starts: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(entry, window in it) of every window of WIDTH bytes whose string stands earlier among the entries."""
     sizes = np.array([len(t) for t in texts])
     base = np.concatenate([[0], np.cumsum(sizes + 1)])
@@ -154,46 +169,32 @@ def repeats_of(docs: np.ndarray, starts: np.ndarray, texts: list[bytes]) -> tupl
     run = equal_runs(joined, order, WIDTH)
     if not len(run):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place, owner = starts[entry] + order - base[entry], docs[entry]
-    by = np.lexsort((place, owner, run))
+    place, owner, version = starts[entry] + order - base[entry], docs[entry], v[entry]
+    by = np.lexsort((place, version, owner, run))
     head = by[np.searchsorted(run[by], run[by])]  # the first of each run
-    later = (place[by] != place[head]) | (owner[by] != owner[head])  # a document that repeats repeats nothing
+    later = (place[by] != place[head]) | (owner[by] != owner[head]) | (version[by] != version[head])  # a document that repeats repeats nothing
     return entry[by][later], (order - base[entry])[by][later]
 
 
-def _spans(docs: np.ndarray, starts: np.ndarray) -> list[pa.Array]:
-    """Windows that repeat, as maximal runs (doc_id, start, end)."""
-    by = np.lexsort((starts, docs))
-    docs, starts = docs[by], starts[by]
-    fresh = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (starts[1:] > starts[:-1] + WIDTH)])) if len(docs) else np.zeros(0, np.int64)
+def _spans(docs: np.ndarray, v: np.ndarray, starts: np.ndarray) -> list[pa.Array]:
+    """Windows that repeat, as maximal runs (doc_id, v, start, end)."""
+    by = np.lexsort((starts, v, docs))
+    docs, v, starts = docs[by], v[by], starts[by]
+    fresh = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (v[1:] != v[:-1]) | (starts[1:] > starts[:-1] + WIDTH)])) if len(docs) else np.zeros(0, np.int64)
     last = np.append(fresh[1:], len(docs)) - 1 if len(docs) else fresh
-    return [pa.array(docs[fresh], pa.int64()), pa.array(starts[fresh], pa.int32()), pa.array(starts[last] + WIDTH, pa.int32())]
+    return [pa.array(docs[fresh], pa.int64()), pa.array(v[fresh], pa.int64()), pa.array(starts[fresh], pa.int32()), pa.array(starts[last] + WIDTH, pa.int32())]
 
 
 def _sort_bucket(key: tuple, table: pa.Table) -> pa.Table:
-    docs, starts = table.column("doc_id").to_numpy(), table.column("start").to_numpy().astype(np.int64)
-    entry, window = repeats_of(docs, starts, table.column("bytes").to_pylist())
-    return pa.Table.from_arrays(_spans(docs[entry], starts[entry] + window), ["doc_id", "start", "end"])
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of contexts of hot anchors, one by one, by hash."""
-    for batch in batches:
-        docs, starts = batch.column("doc_id").to_numpy(), batch.column("start").to_numpy()
-        for lo, _, buf, offsets in tx.slices(batch.column("bytes")):
-            sizes = np.diff(offsets) - WIDTH + 1
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            at = offsets[row] + step
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tx.range_hashes(buf, at, at + WIDTH).view(np.int64)), pa.array(docs[lo + row]), pa.array((starts[lo + row] + step).astype(np.int32))], ["w", "doc_id", "start"]
-            )
+    docs, v, starts = (table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "v", "start"))
+    entry, window = repeats_of(docs, v, starts, table.column("bytes").to_pylist())
+    return pa.Table.from_arrays(_spans(docs[entry], v[entry], starts[entry] + window), ["doc_id", "v", "start", "end"])
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, spans as start/end structs) to disjoint runs and the bytes that stay."""
+    """(doc_id, text, spans as start/end structs) to disjoint runs, the bytes that stay, and the number of all."""
     for batch in batches:
-        runs, kept = [], []
+        runs, kept, sizes = [], [], []
         for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             raw, out, last, own = (text or "").encode(), [], 0, []
             for s in sorted((s["start"], s["end"]) for s in spans or ()):
@@ -204,58 +205,98 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in own:
                 out.append(raw[last:a])
                 last = b
+            sizes.append(len(raw))
             runs.append([{"start": a, "end": b} for a, b in own])
             kept.append(b"".join(out) + raw[last:])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())], ["doc_id", "spans", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "spans", "kept", "n_bytes"])
+
+
+def _same(names: tuple[str, ...]) -> str:
+    return " AND ".join(f"{n} = f_{n}" for n in names)
+
+
+_PLACE = ("doc_id", "v", "start")
+
+
+def split_keys(store: Store, contexts: DataFrame, bound: int) -> tuple[DataFrame, DataFrame]:
+    """(contexts, spans): contexts of keys with more than bound of them, as halves that share a key with at most bound others.
+
+    A key is an anchor and a range of its places in a window, at first all. In each round the contexts of a key are cut
+    at the middle of the range, equal halves become the first of them (spans holds all others, which repeat it), and
+    keys with at most bound halves are done, as is a range of one place: its windows are all different.
+    """
+    left, size = contexts.withColumns({"lo": F.lit(0), "hi": F.lit(WIDTH - K + 1)}), f"length(bytes) - {WIDTH - 1}"
+    done, spans, key = [], [], ["anchor", "lo", "hi"]
+    for round_ in range((WIDTH - K + 1).bit_length()):
+        cut = left.selectExpr("*", "(lo + hi) div 2 AS mid", f"{size} AS n").selectExpr("*", "int(least(greatest(at - mid + 1, 0), n)) AS before")
+        halves = cut.filter("before > 0").selectExpr("anchor", "int(mid) AS lo", "hi", "doc_id", "v", "start", "at", f"substring(bytes, 1, before + {WIDTH - 1}) AS bytes").union(
+            cut.filter("before < n").selectExpr("anchor", "lo", "int(mid) AS hi", "doc_id", "v", "start + before AS start", "smallint(at - before) AS at", "substring(bytes, before + 1) AS bytes")
+        )
+        halves = store.put(f"halves-{round_}", halves)
+        same = [*key, "at", "bytes"]
+        firsts = store.put(f"firsts-{round_}", halves.groupBy(*same).agg(F.min(F.struct(*_PLACE)).alias("f"), F.count("*").alias("c")).select(*same, "f.*", "c"))
+        again = firsts.filter("c > 1").select(*same, *(F.col(c).alias(f"f_{c}") for c in _PLACE))
+        spans.append(halves.join(again, same).filter(f"NOT ({_same(_PLACE)})").selectExpr("doc_id", "v", "start", "start + length(bytes) AS end"))
+        keys = firsts.groupBy(*key).agg(F.count("*").alias("k")).filter("k > 1 AND hi - lo > 1")
+        held = store.put(f"held-{round_}", firsts.drop("c").join(keys, key))
+        done.append(held.filter(f"k <= {bound}").drop("k"))
+        left = held.filter(f"k > {bound}").drop("k")
+        if left.isEmpty():
+            break
+    union = lambda frames: reduce(DataFrame.union, frames)
+    return union([d.select(*key, "doc_id", "v", "start", "bytes") for d in done]), union(spans)
 
 
 def repeated_spans(spark: SparkSession, texts: DataFrame) -> DataFrame:
-    """(doc_id, start, end) of byte ranges that together are all bytes to remove. They may overlap or touch."""
+    """(doc_id, v, start, end) of byte ranges that together are all bytes to remove. They may overlap or touch."""
     store = Store(spark, "suffix")
     texts = texts.filter("doc_id IS NOT NULL AND octet_length(text) >= " + str(WIDTH))
     often = texts.mapInArrow(_places(False), "anchor long").groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
     often = store.put("often", often)
-    places = texts.mapInArrow(_places(True), "anchor long, context long, doc_id long, start int, n smallint")
+    places = texts.mapInArrow(_places(True), "anchor long, context long, other long, doc_id long, v long, start int, n smallint, at smallint")
     places = store.put("places", places.join(often, "anchor"))
-    firsts = places.groupBy("context").agg(F.min(F.struct("doc_id", "start", "n", "anchor")).alias("f"), F.count("*").alias("c"))
-    firsts = store.put("firsts", firsts.select("context", "f.*", "c"))
-    again = firsts.filter("c > 1").select("context", F.col("doc_id").alias("d"), F.col("start").alias("s"))
-    spans = places.join(again, "context").filter("doc_id <> d OR start <> s").select("doc_id", "start", (F.col("start") + F.col("n") + (WIDTH - 1)).alias("end"))
+    firsts = places.groupBy("context", "other").agg(F.min(F.struct("doc_id", "v", "start", "n", "at", "anchor")).alias("f"), F.count("*").alias("c"))
+    firsts = store.put("firsts", firsts.select("context", "other", "f.*", "c"))
+    again = firsts.filter("c > 1").select("context", "other", *(F.col(c).alias(f"f_{c}") for c in _PLACE))
+    spans = places.join(again, ["context", "other"]).filter(f"NOT ({_same(_PLACE)})").selectExpr("doc_id", "v", "start", f"start + n + {WIDTH - 1} AS end")
     spans = store.put("spans", spans)
     store.drop("places", "often")
 
-    mixed = firsts.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1")
-    entries = firsts.join(mixed, "anchor").select("anchor", "doc_id", "start", "n", "k")
-    listed = store.put("listed", entries.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("e")))
-    owners = likely_in(texts, "doc_id", listed, "doc_id").join(listed, "doc_id").select("doc_id", "text", "e")
-    contexts = store.put("contexts", owners.mapInArrow(_cut, "anchor long, doc_id long, start int, bytes binary"))
+    mixed = store.put("mixed", firsts.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1"))
+    entries = firsts.join(mixed, "anchor").select("anchor", "doc_id", "v", "start", "n", "at")
+    listed = store.put("listed", entries.groupBy("doc_id", "v").agg(F.collect_list(F.struct("start", "n", "at", "anchor")).alias("e")))
+    owners = likely_in(texts, "doc_id", listed, "doc_id").join(listed, ["doc_id", "v"]).select("doc_id", "v", "text", "e")
+    contexts = store.put("contexts", owners.mapInArrow(_cut, "anchor long, doc_id long, v long, start int, at smallint, bytes binary"))
     hot = mixed.filter(f"k > {HOT}").select("anchor")
+    whole = ["anchor", "0 AS lo", f"{WIDTH - K + 1} AS hi", "doc_id", "v", "start", "bytes"]
+    held = contexts.selectExpr(*whole)
+    if not hot.isEmpty():
+        parts, more = split_keys(store, contexts.join(hot, "anchor", "left_semi"), HOT)
+        held = contexts.join(hot, "anchor", "left_anti").selectExpr(*whole).union(parts)
+        spans = spans.union(more)
     buckets = max(1, -(-contexts.count() // BUCKET_ROWS))
-    cold = contexts.join(hot, "anchor", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
-    sorted_ = cold.groupBy("bucket").applyInArrow(_sort_bucket, "doc_id long, start int, end int")
-    windows = store.put("windows", contexts.join(hot, "anchor", "left_semi").mapInArrow(_windows, "w long, doc_id long, start int"))
-    least = windows.groupBy("w").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("c")).filter("c > 1").select("w", F.col("f.doc_id").alias("d"), F.col("f.start").alias("s"))
-    single = windows.join(least, "w").filter("doc_id <> d OR start <> s").select("doc_id", "start", (F.col("start") + WIDTH).alias("end"))
-    return store.put("all", spans.union(sorted_).union(single))
+    dealt = held.withColumn("bucket", F.pmod(F.xxhash64("anchor", "lo", "hi"), F.lit(buckets))).drop("anchor", "lo", "hi")
+    sorted_ = dealt.groupBy("bucket").applyInArrow(_sort_bucket, "doc_id long, v long, start int, end int")
+    return store.put("all", spans.union(sorted_))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Return doc_id, n_bytes, spans (removed runs: start, end) and kept (the remaining bytes) for every row of docs.
 
     A null or empty text has no bytes and no spans; matches never cross documents. A row without doc_id takes no part. Rows
-    that repeat a doc_id with one text are one document: none repeats the other. Ties go to the smaller doc_id, then the
+    that repeat a doc_id with one text are one document: none repeats the other. Rows that repeat a doc_id with another
+    text are documents of their own, in the order of a hash of their text. Ties go to the smaller doc_id, then the
     smaller offset. Other columns of docs are not read.
     """
     prepare(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = versions(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     found = repeated_spans(spark, texts)
-    per = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    per = found.groupBy("doc_id", "v").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     marked = marks(texts, "doc_id", found, "doc_id")
     kind = "array<struct<start:int,end:int>>"
     clean = marked.filter("NOT _hit").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.array().cast(kind).alias("spans"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("kept"))
-    hit = marked.filter("_hit").drop("_hit").join(per, "doc_id", "left").mapInArrow(_apply, f"doc_id long, spans {kind}, kept binary")
-    size = F.octet_length("kept") + F.expr("aggregate(spans, 0, (s, x) -> s + x.end - x.start)")
-    return clean.union(hit.select("doc_id", size.cast("long").alias("n_bytes"), "spans", "kept"))
+    hit = marked.filter("_hit").join(per, ["doc_id", "v"], "left").select("doc_id", "text", "spans").mapInArrow(_apply, f"doc_id long, spans {kind}, kept binary, n_bytes long")
+    return clean.union(hit.select("doc_id", "n_bytes", "spans", "kept"))
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

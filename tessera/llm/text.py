@@ -23,7 +23,7 @@ with contextlib.suppress(AttributeError, OSError):  # where there is glibc: larg
     _libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BASE_2 = np.uint64(0xD1342543DE82EF95)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
 
@@ -57,29 +57,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: dict[str, np.ndarray] = {}
+_SPREAD = mix(np.arange(1, 257, dtype=np.uint64) * _BASE_2)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get("p")
-    if have is None or len(have) < n:
+def _power_table(n: int, base: np.uint64 = _BASE) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse."""
+    have = _powers.get(int(base))
+    if have is None or len(have[0]) < n:
         size = 1 << max(16, int(n).bit_length())
-        p = np.full(size, _BASE, dtype=np.uint64)
-        q = np.full(size, _BASE_INV, dtype=np.uint64)
+        p, q = np.full(size, base, dtype=np.uint64), np.full(size, pow(int(base), -1, 1 << 64), dtype=np.uint64)
         p[0] = q[0] = 1
-        _powers["p"], _powers["q"] = np.multiply.accumulate(p), np.multiply.accumulate(q)
-    return _powers["p"][:n], _powers["q"][:n]
+        have = _powers[int(base)] = np.multiply.accumulate(p), np.multiply.accumulate(q)
+    return have[0][:n], have[1][:n]
 
 
-def range_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def range_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = _BASE) -> np.ndarray:
     """64-bit hashes of codes[starts[i]:ends[i]] by one prefix sum (polynomial modulo 2**64, finalised)."""
     n = len(codes)
-    p, q = _power_table(n + 1)
+    p, q = _power_table(n + 1, base)
     prefix = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(codes.astype(np.uint64) * p[:n], out=prefix[1:])
+    np.cumsum(codes.astype(np.uint64, copy=False) * p[:n], out=prefix[1:])
     return mix((prefix[ends] - prefix[starts]) * q[starts] + (ends - starts).astype(np.uint64))
 
 
+def other_range_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """As range_hashes of bytes, by another base over random numbers for the bytes; both together are a 128-bit hash."""
+    return range_hashes(_SPREAD[codes], starts, ends, _BASE_2)
+
+
 def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of slices of a string column; a null text has no bytes."""
     if isinstance(column, pa.ChunkedArray):

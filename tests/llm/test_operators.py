@@ -340,8 +340,12 @@ def test_difference_cover_sorts_suffixes():
 
 
 def removed(docs_):
+    return removed_in_order(sorted(docs_))
+
+
+def removed_in_order(docs_):
     seen, out = set(), []
-    for d, t in sorted(docs_):
+    for d, t in docs_:
         b = (t or "").encode()
         mark = bytearray(len(b))
         for i in range(len(b) - 99):
@@ -356,8 +360,11 @@ def removed(docs_):
 @pytest.mark.parametrize("hot", [512, 2])
 def test_suffix_dedup(spark, docs, monkeypatch, hot):
     monkeypatch.setattr(suffix, "HOT", hot)
-    more = spark.createDataFrame([(500, "é" * 200), (501, "ab" * 200), (502, "Z" + "ab" * 120), (500, "é" * 200)], "doc_id long, text string")
-    both = extra(docs.union(more))
+    rng = random.Random(12)
+    passage = " ".join(words_of(rng, 40))
+    shared = [f"{' '.join(words_of(rng, 12))} {passage[rng.randrange(9) : len(passage) - rng.randrange(9)]} {' '.join(words_of(rng, 12))}" for _ in range(30)]
+    more = [(500, "é" * 200), (501, "ab" * 200), (502, "Z" + "ab" * 120), (500, "é" * 200), *((600 + i, t) for i, t in enumerate(shared))]
+    both = extra(docs.union(spark.createDataFrame(more, "doc_id long, text string")))
     got = sorted((r["doc_id"], r["n_bytes"], len(r["spans"]), bytes(r["kept"])) for r in suffix.suffix_dedup(spark, both).collect())
     known = {r["doc_id"]: r["text"] for r in both.collect()}
     expected = removed(known.items())
@@ -366,6 +373,36 @@ def test_suffix_dedup(spark, docs, monkeypatch, hot):
     assert suffix.suffix_dedup(spark, docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [512, 1])
+def test_suffix_dedup_of_rows_that_repeat_a_doc_id(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix, "HOT", hot)
+    rng = random.Random(13)
+    long, other = " ".join(words_of(rng, 60)), " ".join(words_of(rng, 60))
+    data = [(1, f"{long} a"), (1, "short"), (1, f"b {long} {other}"), (1, f"{long} a"), (1, None), (1, ""), (2, f"c {other} d"), (3, f"{long[:150]} e"), (None, long), (4, None)]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    order = {t: h for t, h in frame.selectExpr("text", "xxhash64(coalesce(text, '')) AS h").distinct().collect()}
+    rows_ = [r for r in data if r[0] is not None]
+    distinct = sorted({(d, order[t], t or "") for d, t in rows_})
+    known = {(d, t): e for (d, _, t), e in zip(distinct, [e for e in removed_in_order([(d, t) for d, _, t in distinct])], strict=True)}
+    got = sorted((r["doc_id"], r["n_bytes"], len(r["spans"]), bytes(r["kept"])) for r in suffix.suffix_dedup(spark, frame).filter("doc_id IS NOT NULL").collect())
+    assert got == sorted(known[d, t or ""] for d, t in rows_)
+
+
+def test_contexts_are_told_apart_by_the_other_hash(monkeypatch):
+    rng = np.random.default_rng(14)
+    buf = rng.integers(97, 123, 900).astype(np.uint8)
+    offsets = np.array([0, 300, 600, 900])
+    buf[600:] = buf[:300]
+    monkeypatch.setattr(text, "range_hashes", lambda codes, starts, ends, base=None: np.zeros(len(starts), np.uint64) if base is None else real(codes, starts, ends, base))
+    of, _, _, _, _, context, other = suffix.anchors(buf, offsets)
+    for i, j in ((0, 1), (1, 2)):
+        assert set(context[of == i]) & set(context[of == j]) and not set(other[of == i]) & set(other[of == j])
+    assert other[of == 0].tolist() == other[of == 2].tolist()
+
+
+real = text.range_hashes
+
+
 # 7 -------------------------------------------------------------------------------------------------------------------
 def test_secret_scans(spark, docs):
     secret = hashlib.sha1(b"x").hexdigest()

@@ -3,7 +3,7 @@
 A byte goes if a string of ``WIDTH`` bytes that covers it also starts earlier. The suffixes of all texts cannot be
 shuffled at a tolerable cost, so the text that is sorted is first reduced to what can matter:
 
-1. Each window of WIDTH bytes has an anchor, its leftmost smallest K-gram hash, the same wherever the window stands. Windows
+1. Each window of WIDTH bytes has an anchor, its leftmost smallest K-gram hash (by 40 bits), the same wherever the window stands. Windows
    whose anchor occurs once in the corpus are unique, and only anchors, one in about forty bytes, are shuffled to know it.
 2. The windows that one place of an anchor owns stand together; their text is a context. Of equal contexts only the first
    goes on (the others repeat it wholly), and only if its anchor has other contexts too.
@@ -12,9 +12,10 @@ shuffled at a tolerable cost, so the text that is sorted is first reduced to wha
    class follows from its first byte and the rank behind it, and both orders are merged. Suffixes beside each other are
    compared over WIDTH bytes; of an equal run all but the first place in the corpus are repeats.
 4. An anchor with more than HOT contexts (a passage that a large part of the corpus holds, each time between other words)
-   would fill a bucket. Equal windows have the anchor at the same place, so the contexts are split by that place in halves, and
-   each half is a key with contexts of its own: equal ones are one again (by their bytes), and what is left is sorted in a bucket or
-   split further, down to single windows, which are all different once equal ones are one.
+   would fill a bucket. Equal windows have the anchor at the same place, so the contexts are split by that place in halves.
+   All windows of a half hold certain bytes around the anchor, and these take the anchor's place as the key: equal halves of a key
+   become one again (by their bytes), and what is left is sorted in a bucket or split further, down to single windows, which
+   are all different once equal ones are one.
 
 Contexts are equal if 128 bits of two independent hashes are; buckets and halves compare bytes.
 """
@@ -70,8 +71,11 @@ def difference_cover(s: np.ndarray) -> np.ndarray:
     rest = rest[np.argsort(one(rest))]
     in_first, in_second = sorted12[sorted12 % 3 == 1], sorted12[sorted12 % 3 == 2]
     before = np.searchsorted(one(in_first), one(rest))
-    pairs = np.unique(np.concatenate([t[i] * top + t[i + 1] for i in (rest, in_second)]))
-    two = lambda i: np.searchsorted(pairs, t[i] * top + t[i + 1]) * wide + rank[i + 2]
+    if top * top * wide < 1 << 62:
+        two = lambda i: (t[i] * top + t[i + 1]) * wide + rank[i + 2]
+    else:
+        pairs = np.unique(np.concatenate([t[i] * top + t[i + 1] for i in (rest, in_second)]))
+        two = lambda i: np.searchsorted(pairs, t[i] * top + t[i + 1]) * wide + rank[i + 2]
     before = before + np.searchsorted(two(in_second), two(rest))
     out = np.empty(n, np.int64)
     place = np.arange(len(rest)) + before
@@ -92,7 +96,7 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, with_context: bool = True) ->
     if n < WIDTH:
         return empty, empty.view(np.uint64), empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
     grams = tx.byte_grams(buf, K)
-    chosen = tx.sliding_min(grams, WIDTH - K + 1)
+    chosen = tx.sliding_least(grams, WIDTH - K + 1)
     long = offsets[1:] - offsets[:-1] >= WIDTH
     edge = np.zeros(len(chosen) + 1, np.int8)
     edge[offsets[:-1][long]] += 1
@@ -167,6 +171,8 @@ def repeats_of(docs: np.ndarray, v: np.ndarray, starts: np.ndarray, texts: list[
     keep = order - base[entry] + WIDTH <= sizes[entry]
     order, entry = order[keep], entry[keep]
     run = equal_runs(joined, order, WIDTH)
+    again = np.bincount(run)[run] > 1 if len(run) else np.zeros(0, bool)
+    order, entry, run = order[again], entry[again], run[again]
     if not len(run):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     place, owner, version = starts[entry] + order - base[entry], docs[entry], v[entry]
@@ -222,16 +228,18 @@ def split_keys(store: Store, contexts: DataFrame, bound: int) -> tuple[DataFrame
     """(contexts, spans): contexts of keys with more than bound of them, as halves that share a key with at most bound others.
 
     A key is an anchor and a range of its places in a window, at first all. In each round the contexts of a key are cut
-    at the middle of the range, equal halves become the first of them (spans holds all others, which repeat it), and
-    keys with at most bound halves are done, as is a range of one place: its windows are all different.
+    at the middle of the range, and the hash of all bytes that windows of the new range surely hold becomes the anchor. Equal halves
+    become the first of them (spans holds all others, which repeat it), and keys with at most bound halves are done, as is a
+    range of one place: its windows are all different.
     """
     left, size = contexts.withColumns({"lo": F.lit(0), "hi": F.lit(WIDTH - K + 1)}), f"length(bytes) - {WIDTH - 1}"
     done, spans, key = [], [], ["anchor", "lo", "hi"]
     for round_ in range((WIDTH - K + 1).bit_length()):
         cut = left.selectExpr("*", "(lo + hi) div 2 AS mid", f"{size} AS n").selectExpr("*", "int(least(greatest(at - mid + 1, 0), n)) AS before")
-        halves = cut.filter("before > 0").selectExpr("anchor", "int(mid) AS lo", "hi", "doc_id", "v", "start", "at", f"substring(bytes, 1, before + {WIDTH - 1}) AS bytes").union(
-            cut.filter("before < n").selectExpr("anchor", "lo", "int(mid) AS hi", "doc_id", "v", "start + before AS start", "smallint(at - before) AS at", "substring(bytes, before + 1) AS bytes")
+        halves = cut.filter("before > 0").selectExpr("int(mid) AS lo", "hi", "doc_id", "v", "start", "at", f"substring(bytes, 1, before + {WIDTH - 1}) AS bytes").union(
+            cut.filter("before < n").selectExpr("lo", "int(mid) AS hi", "doc_id", "v", "start + before AS start", "smallint(at - before) AS at", "substring(bytes, before + 1) AS bytes")
         )
+        halves = halves.withColumn("anchor", F.expr(f"xxhash64(substring(bytes, at - lo + 1, {WIDTH + 1} - hi + lo))"))
         halves = store.put(f"halves-{round_}", halves)
         same = [*key, "at", "bytes"]
         firsts = store.put(f"firsts-{round_}", halves.groupBy(*same).agg(F.min(F.struct(*_PLACE)).alias("f"), F.count("*").alias("c")).select(*same, "f.*", "c"))

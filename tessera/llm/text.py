@@ -165,3 +165,20 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
         values = np.where(less, values[step:], values[:-step])
         span += step
     return pos.astype(np.int64)
+
+
+def sliding_least(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Position in each window of ``width`` hashes of the one that is least by its top 40 bits, the leftmost of equals."""
+    if len(hashes) < width or width < 1:
+        return np.zeros(0, np.int64)
+    parts, most = [], 1 << 24
+    for lo in range(0, len(hashes) - width + 1, most - width):
+        keys = hashes[lo : lo + most] & np.uint64(0xFFFFFFFFFF000000)
+        keys |= np.arange(len(keys), dtype=np.uint64)
+        span = 1
+        while span < width:
+            step = min(span, width - span)
+            keys = np.minimum(keys[:-step], keys[step:])
+            span += step
+        parts.append((keys & np.uint64(0xFFFFFF)).astype(np.int64)[: most - width] + lo)
+    return np.concatenate(parts)

@@ -71,6 +71,17 @@ def test_sliding_min_is_the_leftmost():
         assert text.sliding_min(v, w).tolist() == [i + int(np.argmin(v[i : i + w])) for i in range(len(v) - w + 1)]
 
 
+def test_sliding_least_is_the_leftmost_by_its_top_bits():
+    rng = np.random.default_rng(0)
+    v = (rng.integers(0, 5, 60).astype(np.uint64) << np.uint64(24)) + rng.integers(0, 1 << 24, 60).astype(np.uint64)
+    top = v >> np.uint64(24)
+    for w in (1, 2, 3, 7, 60):
+        assert text.sliding_least(v, w).tolist() == [i + int(np.argmin(top[i : i + w])) for i in range(len(v) - w + 1)]
+    long = text.mix(np.arange((1 << 24) + 100))
+    assert (text.sliding_least(long, 69)[-50:] == text.sliding_least(long[-118:], 69) + len(long) - 118).all()
+    assert len(text.sliding_least(long, 69)) == len(long) - 68
+
+
 # 1 -------------------------------------------------------------------------------------------------------------------
 def greedy(t):
     known, n = set(VOCABULARY) | {bytes([b]) for b in range(256)}, 0

@@ -2,8 +2,8 @@
 
 A gear rolling hash (a sum of shifted table entries, so it depends on the last 64 bytes only) cuts each text where its
 top bits are zero, at least ``LEAST`` bytes after the last cut and at most ``MOST``; cuts depend on nearby bytes only, so
-insertions shift chunks without changing them. Chunks are deduplicated by a 64-bit digest: the first occurrence
-(smallest doc_id, then offset) stays. Successive duplicate chunks of a document form a run, and runs of at least
+insertions shift chunks without changing them. Chunks are deduplicated by a 128-bit digest (two
+independent hashes): the first occurrence (smallest doc_id, then offset) stays. Successive duplicate chunks of a document form a run, and runs of at least
 ``RUN`` bytes are removed.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import text as tx
-from tessera.llm.store import Store, prepare
+from tessera.llm.store import Store, prepare, versions
 
 LEAST, BITS, MOST = 16, 4, 96  # about 31 bytes a chunk
 RUN = 80
@@ -68,53 +68,54 @@ def cuts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for lo, _, buf, offsets in tx.slices(batch.column(1)):
+        ids, v = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "v"))
+        for lo, _, buf, offsets in tx.slices(batch.column("text")):
             starts, ends = cuts(buf, offsets)
             if not len(starts):
                 continue
             row = np.searchsorted(offsets, starts, side="right") - 1
-            digests = tx.range_hashes(buf, starts, ends)
-            order = np.lexsort((starts, digests, row))  # of equal chunks of one text all but the first stand again
+            digests, others = tx.range_hashes(buf, starts, ends), tx.other_range_hashes(buf, starts, ends)
+            order = np.lexsort((starts, others, digests, row))  # of equal chunks of one text all but the first stand again
             again = np.zeros(len(row), bool)
-            again[order[1:]] = (digests[order[1:]] == digests[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
+            again[order[1:]] = np.all([x[order[1:]] == x[order[:-1]] for x in (digests, others, row)], axis=0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[lo + row], pa.int64()), pa.array(digests.view(np.int64)), pa.array((starts - offsets[row]).astype(np.int32)), pa.array((ends - starts).astype(np.int16)), pa.array(again)],
-                ["doc_id", "digest", "start", "size", "again"],
+                [
+                    *(pa.array(x, pa.int64()) for x in (ids[lo + row], v[lo + row], digests.view(np.int64), others.view(np.int64))),
+                    *(pa.array(x) for x in ((starts - offsets[row]).astype(np.int32), (ends - starts).astype(np.int16), again)),
+                ],
+                ["doc_id", "v", "digest", "other", "start", "size", "again"],
             )
 
 
-def duplicate_chunks(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, start, size) of every chunk whose digest stands earlier: at a smaller doc_id, or earlier in the document."""
-    prepare(spark)
+def duplicate_chunks(spark: SparkSession, texts: DataFrame) -> DataFrame:
+    """(doc_id, v, start, size) of every chunk whose digest stands earlier: at a smaller (doc_id, v), or earlier in the document."""
     store = Store(spark, "chunks")
-    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = store.put("chunks", texts.mapInArrow(_chunks, "doc_id long, digest long, start int, size smallint, again boolean"))
-    firsts = chunks.filter("NOT again").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).filter("c > 1").select("digest", "first")
-    elsewhere = chunks.filter("NOT again").join(firsts, "digest").filter("doc_id > first").select("doc_id", "start", "size")
+    chunks = store.put("chunks", texts.filter("doc_id IS NOT NULL").mapInArrow(_chunks, "doc_id long, v long, digest long, other long, start int, size smallint, again boolean"))
+    once = chunks.filter("NOT again").drop("again")
+    firsts = once.groupBy("digest", "other").agg(F.min(F.struct("doc_id", "v")).alias("first"), F.count("*").alias("c")).filter("c > 1").select("digest", "other", "first")
+    elsewhere = once.join(firsts, ["digest", "other"]).filter(F.struct("doc_id", "v") > F.col("first")).select("doc_id", "v", "start", "size")
     # a chunk that stands again in its own document repeats it, whether other documents have it or not
-    return elsewhere.union(chunks.filter("again").select("doc_id", "start", "size"))
+    return elsewhere.union(chunks.filter("again").select("doc_id", "v", "start", "size"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, run: int = RUN) -> DataFrame:
-    """Return doc_id and spans: start and end (exclusive) byte offsets of removed runs, for every row of docs.
+    """Return doc_id, n_bytes and spans: start and end (exclusive) byte offsets of removed runs, for every row of docs.
 
-    A null or empty text has no spans, and a row without doc_id keeps its text. Rows that repeat a doc_id are one
-    document: equal rows are not duplicates of each other. Ties cannot arise, as a place in a document is unique.
+    A null or empty text has no spans, and a row without doc_id keeps its text. Rows that repeat a doc_id with one text are one
+    document: equal rows are not duplicates of each other. Rows that repeat a doc_id with another text are documents of their
+    own, in the order of a hash of their text. Ties cannot arise, as a place in a document is unique.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = duplicate_chunks(spark, texts).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", F.col("size").cast("int").alias("size")))).alias("c"))
-    joined = F.aggregate(
-        "c",
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] == x["start"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), (x["start"] + x["size"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), (x["start"] + x["size"]).alias("end"))))),
-    )
-    return texts.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")).join(
-        found.select("doc_id", F.filter(joined, lambda s: s["end"] - s["start"] >= run).alias("spans")), "doc_id", "left"
-    ).withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")))
+    prepare(spark)
+    texts = versions(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    piece = F.struct("start", (F.col("start") + F.col("size")).alias("end"))
+    found = duplicate_chunks(spark, texts).groupBy("doc_id", "v").agg(F.array_sort(F.collect_set(piece)).alias("c"))
+    # a run begins where the piece before does not end, and ends where the next does not begin
+    begins = F.filter("c", lambda x, i: F.coalesce(F.get("c", i - 1)["end"] != x["start"], F.lit(True)))
+    ends = F.filter("c", lambda x, i: F.coalesce(F.get("c", i + 1)["start"] != x["end"], F.lit(True)))
+    runs = F.zip_with(begins, ends, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end")))
+    spans = found.select("doc_id", "v", F.filter(runs, lambda s: s["end"] - s["start"] >= run).alias("spans"))
+    sizes = texts.select("doc_id", "v", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return sizes.join(spans, ["doc_id", "v"], "left").select("doc_id", "n_bytes", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -437,52 +437,74 @@ def test_secret_scans(spark, docs):
 
 
 # 8 -------------------------------------------------------------------------------------------------------------------
+def gear_chunks(t):
+    """The chunks of a text, byte by byte."""
+
+    def mixed(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) % 2**64
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) % 2**64
+        return x ^ (x >> 31)
+
+    table, out, last, h, data = [mixed(i + 1) for i in range(256)], [], 0, 0, t.encode()
+    for i, byte in enumerate(data, 1):
+        h = (2 * h + table[byte]) % 2**64
+        if i == len(data) or i - last == 96 or (i - last >= 16 and h < 2**60):
+            out.append(data[last:i])
+            last = i
+    return out
+
+
 def test_chunks_cover_and_resist_shifts():
     import pyarrow as pa
 
     rng = random.Random(9)
     body = bytes(rng.randrange(97, 123) for _ in range(20000)).decode()
-
-    def cut(t):
-        for _, _, buf, offsets in text.slices(pa.array(["", t, "x"])):
-            starts, ends = chunks.cuts(buf, offsets)
-            keep = starts < offsets[2]
-            return [t[a:b] for a, b in zip(starts[keep], ends[keep], strict=True)]
-
-    one, two = cut(body), cut("inserted" + body)
-    assert "".join(one) == body and max(map(len, one)) <= chunks.MOST
-    assert len(set(one) & set(two)) > 0.95 * len(one)
-    assert cut(body)[:50] == [c.decode() for c in chunks_alone(body)][:50]
-
-
-def chunks_alone(t):
-    import pyarrow as pa
-
-    for _, _, buf, offsets in text.slices(pa.array([t])):
+    texts = ["", body, "x", f"inserted{body}", *(t for _, t in DOCS if t)]
+    got = [[] for _ in texts]
+    for lo, _, buf, offsets in text.slices(pa.array(texts)):
         starts, ends = chunks.cuts(buf, offsets)
-        return [buf[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+        for a, b in zip(starts, ends, strict=True):
+            got[lo + int(np.searchsorted(offsets, a, side="right")) - 1].append(buf[a:b].tobytes())
+    assert got == [gear_chunks(t) for t in texts]
+    assert len(set(got[1]) & set(got[3])) > 0.95 * len(got[1])
 
 
-def test_substring_dedup(spark, docs):
-    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in chunks.substring_dedup(spark, extra(docs)).collect()}
-    first, out = {}, {}
-    for d, t in DOCS:
+def removed_runs(docs_):
+    """Documents in order to the runs of chunks that stand earlier."""
+    seen, out = set(), []
+    for t in docs_:
         at, runs = 0, []
-        for c in chunks_alone(t) if t else []:
-            n = len(c)
-            if c in first:
+        for c in gear_chunks(t or ""):
+            if c in seen:
                 if runs and runs[-1][1] == at:
-                    runs[-1] = (runs[-1][0], at + n)
+                    runs[-1][1] += len(c)
                 else:
-                    runs.append((at, at + n))
-            first.setdefault(c, d)
-            at += n
-        out[d] = [r for r in runs if r[1] - r[0] >= chunks.RUN]
-    assert got == out
+                    runs.append([at, at + len(c)])
+            seen.add(c)
+            at += len(c)
+        out.append([tuple(r) for r in runs if r[1] - r[0] >= chunks.RUN])
+    return out
+
+
+def test_substring_dedup(spark, docs):
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in chunks.substring_dedup(spark, extra(docs)).collect()}
+    assert got == dict(zip((d for d, _ in DOCS), removed_runs(t for _, t in DOCS), strict=True))
     assert any(got[d] for d in range(81, 88))  # the shared passage
     assert chunks.substring_dedup(spark, docs.limit(0)).count() == 0
 
 
+def test_substring_dedup_of_rows_that_repeat_a_doc_id(spark):
+    rng = random.Random(15)
+    long = " ".join(words_of(rng, 80))
+    data = [(1, f"a {long}"), (1, f"b {long}"), (1, f"a {long}"), (1, None), (2, f"{long} c"), (None, long), (3, "")]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    order = {t: h for t, h in frame.selectExpr("text", "xxhash64(coalesce(text, '')) AS h").distinct().collect()}
+    distinct = sorted({(d, order[t], t or "") for d, t in data if d is not None})
+    known = {(d, t): r for (d, _, t), r in zip(distinct, removed_runs(t for _, _, t in distinct), strict=True)}
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], [(s["start"], s["end"]) for s in r["spans"]]) for r in chunks.substring_dedup(spark, frame).collect())
+    assert got == sorted((d or 0, len(t or ""), known.get((d, t or ""), [])) for d, t in data)
+
+
 # 9 -------------------------------------------------------------------------------------------------------------------
 def test_quality(spark):
     from pyspark.sql import functions as F

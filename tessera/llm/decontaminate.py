@@ -7,7 +7,8 @@ of the items, each hit is extended word by word in both directions, and an exten
 words. For windows shorter than ``ngram`` the k-gram is the window itself.
 
 The items are joined in blocks of at most ``BLOCK_BYTES`` of text, so what is broadcast is bounded; with more than one
-block the documents pass once for each, and their state is written to the shared folder between passes.
+block the documents pass once for each, and they are written with their state to the shared folder between passes, where
+the pass before is dropped.
 """
 
 from __future__ import annotations
@@ -147,6 +148,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, bench: DataFrame, ngram:
         if block + 1 < blocks:
             state = store.put(f"pass-{block}", state)
             held.unpersist()
+            if block:
+                store.drop(f"pass-{block - 1}")
     return state.withColumn("spans", F.coalesce("spans", F.array().cast("array<int>"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
 
 

@@ -10,6 +10,7 @@ only for vectors that are still competitive. Shards keep their k best for each q
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +22,22 @@ from tessera.llm.store import Store, prepare
 SCALE = 1024
 QUERY_BLOCK = 8192  # queries broadcast at once
 SHARD_ROWS = 4096
+MOST = 2.0**62  # larger components count as this
+LONG = 2.0**63 - 1024  # the largest double within a long
 PROBE = 8  # non-essential terms probed between two prunings
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(SCALE * np.clip(x, -MOST, MOST)), -MOST, MOST)
+
+
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     """floor(SCALE * x) of a list column, short vectors padded with zeros; exact in 64-bit floats."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     sizes = np.diff(column.offsets.to_numpy())
     out = np.zeros((len(column), max(dims, int(sizes.max(initial=0)))))
     rows = np.repeat(np.arange(len(column)), sizes)
-    out[rows, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.floor(SCALE * flat)
+    out[rows, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = _scaled(flat)
     return out
 
 
@@ -49,8 +56,9 @@ class Best:
         self.score[q], self.ids[q] = score[order], ids[order]
 
 
-def search_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, best: Best) -> None:
-    """MaxScore of every query over one shard of vectors."""
+def search_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, best: Best) -> int:
+    """MaxScore of every query over one shard of vectors; returns the essential terms of all queries, counted."""
+    traversed = 0
     low, high = vectors.min(axis=0), vectors.max(axis=0)
     columns = np.ascontiguousarray(vectors.T)
     for q, weight in enumerate(queries):
@@ -63,6 +71,7 @@ def search_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
             continue
         essential = int(np.searchsorted(-(base + tail), -limit, side="left")) if np.isfinite(limit) else len(order)
         essential = min(max(essential, 1), len(order))
+        traversed += essential
         terms = order[:essential]
         score = weight[terms] @ columns[terms]
         alive = np.arange(len(ids)) if query_ids[q] is None else np.flatnonzero(ids != query_ids[q])
@@ -82,15 +91,16 @@ def search_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
             cut = np.partition(score, len(score) - best.k)[len(score) - best.k]
             alive, score = alive[score >= cut], score[score >= cut]
         best.add(q, score, ids[alive])
+    return traversed
 
 
-def _search(held, k: int):
+def _search(held, k: int, shard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = held.value
         best = Best(len(query_ids), k)
         for batch in batches:
-            for lo in range(0, batch.num_rows, SHARD_ROWS):
-                part = batch.slice(lo, SHARD_ROWS)
+            for lo in range(0, batch.num_rows, shard):
+                part = batch.slice(lo, shard)
                 vectors = _matrix(part.column(1), queries.shape[1])
                 padded = queries if vectors.shape[1] == queries.shape[1] else np.pad(queries, ((0, 0), (0, vectors.shape[1] - queries.shape[1])))
                 search_shard(query_ids, padded, part.column(0).to_numpy(), vectors, best)
@@ -100,7 +110,7 @@ def _search(held, k: int):
                 [
                     pa.array(np.repeat(query_ids[span.start : span.stop], [len(best.ids[q]) for q in span]), pa.int64()),
                     pa.array(np.concatenate([best.ids[q] for q in span]), pa.int64()),
-                    pa.array(np.concatenate([best.score[q] for q in span]).astype(np.int64)),
+                    pa.array(np.clip(np.concatenate([best.score[q] for q in span]), -LONG, LONG).astype(np.int64)),
                 ],
                 ["query_id", "vec_id", "score"],
             )
@@ -114,7 +124,9 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     Scores are integer inner products of floor(1024 * x). Rows that are null or hold null or non-finite components or
     no id take no part; a vector shorter than another counts as padded with zeros. Candidates are all rows but those of
     the query's own id; a repeated row is a candidate each time. A query id that repeats asks with its smallest vector.
-    Ties go to the smaller vec_id. No vectors or no queries: no rows. Queries are broadcast in blocks of QUERY_BLOCK.
+    Ties go to the smaller vec_id. No vectors or no queries: no rows. Inner products are exact up to 2**53; larger ones
+    are rounded as doubles are, and those beyond a long are the largest long. Queries are broadcast in blocks of
+    QUERY_BLOCK: the best of a block are written, and the block's broadcast is released, before the next one is made.
     """
     prepare(spark)
     store = Store(spark, "topk")
@@ -127,18 +139,22 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     count = (asked := store.put("queries", asked)).count()
     blocks = max(1, -(-count // QUERY_BLOCK))
-    found = None
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = []
     for block in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).orderBy("vec_id").collect()
+        rows = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).orderBy("vec_id").collect()  # about QUERY_BLOCK
         width = max((len(r["embedding"]) for r in rows), default=1)
         matrix = np.zeros((len(rows), max(1, width)))
         for i, r in enumerate(rows):
-            matrix[i, : len(r["embedding"])] = np.floor(SCALE * np.array(r["embedding"], np.float64))
+            matrix[i, : len(r["embedding"])] = _scaled(np.array(r["embedding"], np.float64))
         held = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in rows], np.int64), matrix))
-        part = usable(vectors).mapInArrow(_search(held, k), "query_id long, vec_id long, score long")
-        found = part if found is None else found.union(part)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        part = usable(vectors).mapInArrow(_search(held, k, SHARD_ROWS), "query_id long, vec_id long, score long")
+        part = part.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if blocks > 1:
+            part = store.put(f"best-{block}", part)
+            held.unpersist()
+        found.append(part)
+    return reduce(DataFrame.union, found)
 
 
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -277,21 +277,46 @@ def test_decontamination_of_nothing(spark, docs):
 
 
 # 4 -------------------------------------------------------------------------------------------------------------------
-def test_top_k(spark):
+@pytest.mark.parametrize("shard, block", [(4096, 8192), (16, 2)])
+def test_top_k(spark, monkeypatch, shard, block):
+    monkeypatch.setattr(topk, "SHARD_ROWS", shard)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", block)
     rng = np.random.default_rng(5)
-    data = [(i, [float(x) for x in rng.normal(size=8).round(2)]) for i in range(300)]
-    data += [(300, data[3][1]), (301, data[3][1]), (302, None), (303, [1.0, None]), (304, [float("nan")] * 8), (305, [float("inf")] * 8), (None, [0.0] * 8), (306, [2.0]), (307, [])]
+    data = [(i, [float(x) for x in rng.normal(size=8).round(2)]) for i in range(1500)]
+    data += [(2000, data[3][1]), (301, data[3][1]), (302, None), (303, [1.0, None]), (304, [float("nan")] * 8), (305, [float("inf")] * 8), (None, [0.0] * 8), (306, [2.0]), (307, [])]
+    data = [d for i, d in enumerate(data) if d[0] not in (301, 302, 303, 304, 305, 306, 307) or i >= 1500]
     frame = extra(spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(4))
     got = rows(topk.top_k(spark, frame, frame.filter("vec_id % 100 = 0")), "query_id", "rank", "vec_id", "score")
     vectors = {i: np.floor(1024 * np.pad(np.array(v, np.float32).astype(np.float64), (0, 8 - len(v)))) for i, v in data if i is not None and v is not None and None not in v and np.isfinite(v).all()}
     expected = []
-    for q in (0, 100, 200, 300):
+    for q in (v for v in vectors if v % 100 == 0):
         best = sorted(((-int(vectors[q] @ v), i) for i, v in vectors.items() if i != q))[:10]
         expected += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
     assert got == sorted(expected)
     assert topk.top_k(spark, frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_maxscore_prunes_and_loses_nothing():
+    rng = np.random.default_rng(6)
+    dims, scale = 24, np.exp(-np.arange(24) / 3)  # terms of falling weight, as of a rotated space
+    vectors = np.floor(1024 * rng.normal(size=(4000, dims)) * scale)
+    ids, queries = np.arange(4000), vectors[::200]
+    for shard in (64, 500):
+        best, traversed = topk.Best(len(queries), 10), 0
+        for lo in range(0, 4000, shard):
+            traversed += topk.search_shard(ids[::200], queries, ids[lo : lo + shard], vectors[lo : lo + shard], best)
+        assert traversed < 0.6 * dims * len(queries) * (4000 / shard)  # most terms are non-essential
+        for q, vector in enumerate(queries):
+            expected = sorted(((-int(vector @ v), i) for i, v in enumerate(vectors) if i != 200 * q))[:10]
+            assert [(-int(s), int(i)) for s, i in zip(best.score[q], best.ids[q], strict=True)] == expected
+
+
+def test_top_k_of_huge_components(spark):
+    frame = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 2.0]), (2, [-1e300, 0.0])], "vec_id long, embedding array<double>")
+    got = rows(topk.top_k(spark, frame, frame.filter("vec_id = 0")), "rank", "vec_id", "score")
+    assert [(r, v) for r, v, _ in got] == [(1, 1), (2, 2)] and got[0][2] == 2**63 - 1024 == -got[1][2]
+
+
 # 5 -------------------------------------------------------------------------------------------------------------------
 def test_best_fit_takes_the_tightest_compatible_bin():
     rng = random.Random(2)

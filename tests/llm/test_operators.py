@@ -461,6 +461,65 @@ def test_secret_scans(spark, docs):
     assert secrets.scan_secrets(spark, docs.limit(0)).count() == 0
 
 
+def english(rng, n):
+    return " ".join(rng.choice(("the", "river", "bridge", "Über", "season", "of", "winter", "garden", "people", "number", "7", "2024-05-01", "mail8@example.com", "state-run")) for _ in range(n))
+
+
+def test_secret_scans_against_brute_force(spark):
+    rng = random.Random(21)
+    alphabets = secrets.KINDS_OF_RANDOM
+    data, planted = [], {}
+    for i in range(150):
+        words_ = english(rng, rng.randrange(5, 60)).split()
+        if i % 3 == 0:
+            planted[i] = "".join(rng.choice(alphabets[i % len(alphabets)]) for _ in range(rng.randrange(16, 40)))
+            words_.insert(rng.randrange(len(words_)), f"«{planted[i]}»")
+        if i % 5 == 0:
+            words_.append(f"token: {rng.getrandbits(128):x} Xé=AKIA{'Q7' * 9}{'=' * (i % 2)}")
+        data.append((i, " ".join(words_)))
+    data += [(200, None), (201, ""), (202, english(rng, 30000))]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    model = secrets.train(frame)
+
+    def spans_of(t):
+        found = []
+        for kind, pattern, least in (("assign", secrets.ASSIGN, 0), ("access", secrets.ACCESS, 20), ("hex", secrets.HEX, 24)):
+            found += [(m.start(), kind, m.end()) for m in pattern.finditer(t) if m.end() - m.start() >= least and (kind != "assign" or len(m[2]) >= 6)]
+        base = sorted(found, key=lambda s: (s[0], ("assign", "access", "hex").index(s[1])))
+        for m in secrets.TOKEN.finditer(t):
+            if len(m[0]) >= 12 and all(b <= m.start() or m.end() <= a for a, _, b in base):
+                logs = [sum(table[secrets._A if k == 0 else secrets.ALPHABET.index(m[0][k - 1]), secrets.ALPHABET.index(c)] for k, c in enumerate(m[0])) for table in model.tables]
+                mean = lambda x: np.log(np.mean(np.exp(np.array(x) - max(x)))) + max(x)
+                if mean(logs[:-2]) - mean(logs[-2:]) >= model.threshold:
+                    found.append((m.start(), "random", m.end()))
+        return sorted(found)
+
+    got = {r["doc_id"]: sorted((s["start"], s["kind"], s["end"]) for s in r["secret_spans"]) for r in secrets.scan_secrets(spark, frame).collect()}
+    assert got == {i: spans_of(t or "") for i, t in data}
+    caught = sum(any(k in ("random", "hex") and data[i][1][a:b].find(planted[i]) >= 0 for a, k, b in got[i]) for i in planted)
+    assert caught >= 0.9 * len(planted)
+    assert all(not got[i] for i, _ in data if i % 3 and i % 5)
+
+
+def test_counts_of_words_are_those_of_all_tokens():
+    import pyarrow as pa
+
+    rng = random.Random(22)
+    texts = [None, "", "ab", "cd", *(english(rng, 40) for _ in range(20)), f"é token = {'ab9' * 9} end", "x" * 40]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    counts = np.array(next(secrets._gather([batch])).column(0)[0].as_py())
+    a = secrets._A
+    captured, plain, first, last = np.split(counts, np.cumsum([(a + 1) * a, (a + 1) * a, a * a]))
+    taken, others = [], []
+    for t in texts:
+        base = secrets.base_spans(t or "")
+        for m in secrets.TOKEN.finditer(t or ""):
+            (others if all(e <= m.start() or m.end() <= s for s, _, e in base) else taken).append(m[0])
+    assert captured.reshape(a + 1, a).tolist() == secrets.count_pairs([t for t in taken if len(t) >= 12]).tolist()
+    assert plain.reshape(a + 1, a).tolist() == secrets.count_pairs(others).tolist()
+    assert first.sum() == sum(len(t) > 1 for t in others) and last[secrets.ALPHABET.index("b")] == sum(t[-1] == "b" for t in others)
+
+
 # 8 -------------------------------------------------------------------------------------------------------------------
 def gear_chunks(t):
     """The chunks of a text, byte by byte."""

@@ -627,6 +627,76 @@ def test_quality_scores_are_exact_cosines():
         assert abs(s - ((w * model.votes[near]).sum() / w.sum() if w.sum() > 0 else model.prior)) < 1e-5
 
 
+def scores_by_hand(docs_, labels_, k, rank):
+    """The classifier by dictionaries and full matrices, on labelled texts and all texts."""
+    collapse = [(re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[0-9]+"), b"0")]
+
+    def words_in(t):
+        return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+    def hashed(raw):
+        a = np.frombuffer(raw, np.uint8)
+        return int(text.range_hashes(a, np.array([0]), np.array([len(a)]))[0])
+
+    def count(t):
+        low, cased = words_in(t)
+        found = {}
+        for w in low:
+            d = quality.SHAPES + hashed(w.encode()) % (quality.DIMS - quality.SHAPES)
+            found[d] = found.get(d, 0) + 1
+        for w in cased:
+            raw = w.encode()
+            for pattern, letter in collapse:
+                raw = pattern.sub(letter, raw)
+            d = quality.PATTERNS + hashed(raw) % (quality.SHAPES - quality.PATTERNS)
+            found[d] = found.get(d, 0) + 1
+        for i in range(len(low) - 3):
+            four = low[i : i + 4]
+            d = sum(four.index(w) * 4 ** (3 - j) for j, w in enumerate(four))
+            found[d] = found.get(d, 0) + 1
+        return found
+
+    sample = [(q, count(t)) for q, t in labels_]
+    idf = np.log((1 + len(sample)) / (1 + np.array([sum(d in c for _, c in sample) for d in range(quality.DIMS)]))) + 1
+
+    def vector(c):
+        x = np.zeros(quality.DIMS)
+        for d, n in c.items():
+            x[d] = np.log1p(n) * idf[d]
+        for a, b in ((0, 64), (64, 2048), (2048, 8192)):
+            x[a:b] /= max(np.linalg.norm(x[a:b]), 1e-9)
+        return x
+
+    x = np.stack([vector(c) for _, c in sample])
+    _, _, directions = np.linalg.svd(x, full_matrices=False)
+    project = lambda m: (y := m @ directions[:rank].T) / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
+    like = np.rint(project(np.stack([vector(count(t)) for t in docs_])) @ project(x).T * 2**20)
+    votes = np.array([q for q, _ in sample])
+    out = []
+    for row in like:
+        near = np.argsort(-row, kind="stable")[:k]
+        w = np.maximum(row[near], 0)
+        out.append((w * votes[near]).sum() / w.sum() if w.sum() else votes.mean())
+    return out
+
+
+def test_quality_against_brute_force(spark):
+    rng = random.Random(31)
+    data = []
+    for i in range(240):
+        w = words_of(rng, rng.randrange(2, 40), 60)
+        data.append((i, " ".join(w if i % 3 else [x if i % 2 else x.upper() + "!" for x in w for _ in range(3)])))
+    data += [(300, ""), (301, None), (302, "Ü é!! 12ab")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(200)], "doc_id long, quality int")
+    model = quality.fit(docs, marks, rank=12, k=7)
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(spark, docs, model).collect()}
+    allowed = {r["doc_id"] for r in marks.filter("crc32(cast(doc_id AS string)) % 3 <> 1").collect()}
+    expected = scores_by_hand([t for _, t in data], [(int(i % 3 > 0), t) for i, t in data if i in allowed], 7, 12)
+    close = [abs(got[i] - e) < 1e-3 for (i, _), e in zip(data, expected, strict=True)]
+    assert sum(close) >= len(close) - 2  # a rounding step may swap a neighbour
+
+
 # 10 ------------------------------------------------------------------------------------------------------------------
 def groups(docs_):
     sets = {}

@@ -92,10 +92,14 @@ def duplicate_chunks(spark: SparkSession, texts: DataFrame) -> DataFrame:
     store = Store(spark, "chunks")
     chunks = store.put("chunks", texts.filter("doc_id IS NOT NULL").mapInArrow(_chunks, "doc_id long, v long, digest long, other long, start int, size smallint, again boolean"))
     once = chunks.filter("NOT again").drop("again")
-    firsts = once.groupBy("digest", "other").agg(F.min(F.struct("doc_id", "v")).alias("first"), F.count("*").alias("c")).filter("c > 1").select("digest", "other", "first")
-    elsewhere = once.join(firsts, ["digest", "other"]).filter(F.struct("doc_id", "v") > F.col("first")).select("doc_id", "v", "start", "size")
+    firsts = once.groupBy("digest", "other").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).filter("c > 1").select("digest", "other", "first")
+    elsewhere = once.join(firsts, ["digest", "other"]).filter("doc_id > first").select("doc_id", "v", "start", "size")
+    # within one doc_id the row of the least v has a chunk first; few rows have a v
+    versions_ = once.filter("v <> 0")
+    least = versions_.groupBy("digest", "other", "doc_id").agg(F.min("v").alias("least"))
+    before = versions_.join(least, ["digest", "other", "doc_id"]).filter("v > least").select("doc_id", "v", "start", "size")
     # a chunk that stands again in its own document repeats it, whether other documents have it or not
-    return elsewhere.union(chunks.filter("again").select("doc_id", "v", "start", "size"))
+    return elsewhere.union(before).union(chunks.filter("again").select("doc_id", "v", "start", "size"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, run: int = RUN) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A gear rolling hash (a sum of shifted table entries, so it depends on the last 64 bytes only) cuts each text where its
 top bits are zero, at least ``LEAST`` bytes after the last cut and at most ``MOST``; cuts depend on nearby bytes only, so
-insertions shift chunks without changing them. Chunks are deduplicated by a 128-bit digest (two
-independent hashes): the first occurrence (smallest doc_id, then offset) stays. Successive duplicate chunks of a document form a run, and runs of at least
+insertions shift chunks without changing them. Chunks are deduplicated by a 96-bit digest (64 and
+32 bits of two independent hashes; 100 TB have some 3e12 chunks, of which 1e-4 pairs are expected to be taken for equal): the first occurrence (smallest doc_id, then offset) stays. Successive duplicate chunks of a document form a run, and runs of at least
 ``RUN`` bytes are removed.
 """
 
@@ -74,14 +74,14 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(starts):
                 continue
             row = np.searchsorted(offsets, starts, side="right") - 1
-            digests, others = tx.range_hashes(buf, starts, ends), tx.other_range_hashes(buf, starts, ends)
+            digests, others = tx.range_hashes(buf, starts, ends), (tx.other_range_hashes(buf, starts, ends) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             order = np.lexsort((starts, others, digests, row))  # of equal chunks of one text all but the first stand again
             again = np.zeros(len(row), bool)
             again[order[1:]] = np.all([x[order[1:]] == x[order[:-1]] for x in (digests, others, row)], axis=0)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(pa.array(x, pa.int64()) for x in (ids[lo + row], v[lo + row], digests.view(np.int64), others.view(np.int64))),
-                    *(pa.array(x) for x in ((starts - offsets[row]).astype(np.int32), (ends - starts).astype(np.int16), again)),
+                    *(pa.array(x, pa.int64()) for x in (ids[lo + row], v[lo + row], digests.view(np.int64))),
+                    *(pa.array(x) for x in (others, (starts - offsets[row]).astype(np.int32), (ends - starts).astype(np.int16), again)),
                 ],
                 ["doc_id", "v", "digest", "other", "start", "size", "again"],
             )
@@ -90,7 +90,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def duplicate_chunks(spark: SparkSession, texts: DataFrame) -> DataFrame:
     """(doc_id, v, start, size) of every chunk whose digest stands earlier: at a smaller (doc_id, v), or earlier in the document."""
     store = Store(spark, "chunks")
-    chunks = store.put("chunks", texts.filter("doc_id IS NOT NULL").mapInArrow(_chunks, "doc_id long, v long, digest long, other long, start int, size smallint, again boolean"))
+    chunks = store.put("chunks", texts.filter("doc_id IS NOT NULL").mapInArrow(_chunks, "doc_id long, v long, digest long, other int, start int, size smallint, again boolean"))
     once = chunks.filter("NOT again").drop("again")
     firsts = once.groupBy("digest", "other").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).filter("c > 1").select("digest", "other", "first")
     elsewhere = once.join(firsts, ["digest", "other"]).filter("doc_id > first").select("doc_id", "v", "start", "size")

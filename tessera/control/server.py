@@ -16,8 +16,9 @@ from dataclasses import asdict
 
 from tessera.control.limits import TIERS, Meter, TokenBucket, tier_of
 from tessera.errors import EngineError
-from tessera.session import Session
-from tessera.sources.ingest import to_arrow_stream
+from tessera.hitl import explainer
+from tessera.session import QueryResult, Session
+from tessera.sources.ingest import arrow_stream
 
 ROW_LIMIT = 1000
 _WEBSOCKET = "258EAFA5-E914-47DA-95CA-C5AB0DC85B11"  # fixed by the protocol
@@ -54,17 +55,18 @@ class Service:
             return {"id": request.get("id"), "error": f"{type(e).__name__}: {e}"[:2000]}
 
     def do_query(self, p: dict) -> dict:
+        """One run: rows and provenance come from it, and the monitor's verdict on them rides along."""
         result = self.session.sql(p["sql"])
-        frame, verdict = result.observed()
         limit = int(p.get("limit", ROW_LIMIT))
-        shown = frame.limit(limit)
+        frame, verdict = QueryResult(result.frame.limit(limit), result.mode, result.monitor, result.model).observed()
+        table = frame.toArrow()
         if p.get("arrow"):
-            data = to_arrow_stream(shown)
-            body = {"arrow": base64.b64encode(data).decode(), "ipc_bytes": len(data), "row_count": shown.count()}
+            data = arrow_stream(table)
+            body = {"arrow": base64.b64encode(data).decode(), "ipc_bytes": len(data), "row_count": table.num_rows}
         else:
-            rows = [r.asDict(recursive=True) for r in shown.collect()]
-            body = {"rows": rows, "row_count": len(rows)}
-        return {"columns": frame.columns, "reasoning": result.reasoning(min(limit, 20)), "anomalies": [asdict(a) for a in result.anomalies()], "model": result.model} | body
+            body = {"rows": table.to_pylist(), "row_count": table.num_rows}
+        told = table["provenance"].slice(0, 20).to_pylist() if "provenance" in table.column_names else []
+        return {"columns": frame.columns, "reasoning": explainer.told(told, result.mode), "anomalies": [asdict(a) for a in verdict()], "model": result.model} | body
 
     def do_register_table(self, p: dict) -> dict:
         self.session.register_table(p["name"], p["path"])

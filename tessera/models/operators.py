@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 from typing import Protocol, runtime_checkable
 
@@ -118,6 +117,42 @@ class OnnxOperator:
         return onnx_udf(self.content)(F.array(*(c.cast("float") for c in columns)))
 
 
+def _varint(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def _wire(number: int, value: int | bytes | str) -> bytes:
+    """A field of a protocol buffer: an integer, or a length and bytes."""
+    if isinstance(value, int):
+        return _varint(number << 3) + _varint(value)
+    raw = value.encode() if isinstance(value, str) else value
+    return _varint(number << 3 | 2) + _varint(len(raw)) + raw
+
+
+def export_onnx(operator: LinearOperator) -> bytes:
+    """A native model as the bytes of a model file: rows times weights, plus bias, and the sigmoid if it is logistic."""
+    n, last = len(operator.weights), "y" if operator.logistic else "z"
+
+    def node(kind: str, inputs: tuple[str, ...], output: str) -> bytes:
+        return _wire(1, b"".join(_wire(1, i) for i in inputs) + _wire(2, output) + _wire(4, kind))
+
+    def constant(name: str, shape: tuple[int, ...], values: list[float]) -> bytes:
+        return _wire(5, b"".join(_wire(1, d) for d in shape) + _wire(2, 1) + _wire(8, name) + _wire(9, np.asarray(values, "<f4").tobytes()))
+
+    def matrix(name: str, width: int) -> bytes:
+        shape = _wire(1, _wire(2, "rows")) + _wire(1, _wire(1, width))
+        return _wire(1, name) + _wire(2, _wire(1, _wire(1, 1) + _wire(2, shape)))
+
+    graph = node("MatMul", ("x", "weights"), "products") + node("Add", ("products", "bias"), "z") + (node("Sigmoid", ("z",), "y") if operator.logistic else b"")
+    graph += _wire(2, operator.function_id) + constant("weights", (n, 1), operator.weights) + constant("bias", (1,), [operator.bias])
+    graph += _wire(11, matrix("x", n)) + _wire(12, matrix(last, 1))
+    return _wire(1, 8) + _wire(7, graph) + _wire(8, _wire(1, "") + _wire(2, 13))
+
+
 def model_features(operator: Operator, frame: DataFrame) -> list[str]:
     """The operator's own feature columns, or else all float and double columns in schema order."""
     if operator.features:
@@ -183,7 +218,3 @@ class Registry:
 
     def variants(self, function_id: str) -> list[Operator]:
         return [o for (f, _), o in self.operators.items() if f == function_id]
-
-
-def sigmoid(x: float) -> float:
-    return 1 / (1 + math.exp(-x))

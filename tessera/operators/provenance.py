@@ -39,6 +39,14 @@ def polynomial_bytes(monomial: Column) -> Column:
     return F.concat(one, u64le(F.octet_length(monomial)), F.encode(monomial, "UTF-8"), one)
 
 
+def row_polynomials(name: str, number: Column) -> Column:
+    """polynomial_bytes of name + number + "]" for numbers from 0 on: all but the digits is constant for each count of digits."""
+    text, one = name.encode(), struct.pack("<Q", 1)
+    heads = [F.lit(one + struct.pack("<Q", len(text) + d + 1) + text) for d in range(1, 20)]
+    digits = number.cast("string")
+    return F.concat(F.element_at(F.array(*heads), F.length(digits)), digits.cast("binary"), F.lit(b"]" + one))
+
+
 def row_number_in_batch() -> Column:
     """The place of a row in its partition, from 0. Tokens restart with each batch of a result, so no exchange is needed."""
     return F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
@@ -53,7 +61,7 @@ def attach(frame: DataFrame, mode: str = "polynomial", model: str = "query_pipel
     elif mode == "probability":
         value = F.lit(struct.pack("<d", 1.0))
     else:
-        value = polynomial_bytes(F.concat(F.lit(f"{model}:{function}:[row_"), row_number_in_batch().cast("string"), F.lit("]")))
+        value = row_polynomials(f"{model}:{function}:[row_", row_number_in_batch())
     return frame.withColumn("provenance", value)
 
 

@@ -42,6 +42,11 @@ def plan_of(operator: Operator, rows: int, speed: float = 1.0) -> Plan:
     )
 
 
+def rows_within(max_latency_ms: float, latencies: list[float]) -> int | None:
+    """The largest number of rows at which the choice still changes: beyond it every model is too slow. None: there are no models."""
+    return int(max_latency_ms / min(latencies) * ROW_UNIT) + 1 if latencies and min(latencies) > 0 else None
+
+
 def frontier(plans: list[Plan]) -> list[Plan]:
     return [p for p in plans if not any(q.dominates(p) for q in plans)]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import os
 import tomllib
 import uuid
 from collections.abc import Callable
@@ -90,6 +91,8 @@ class Session:
                 self.register_table(name, str(path), remember=False)
             for name, source in self.catalog.data["rules"].items():
                 self.register_rule(name, str(source), remember=False)
+            for entry in self.catalog.data["models"].values():
+                self.load_model(**entry, remember=False)
 
     # tables
     def register_table(self, name: str, source: str | DataFrame, remember: bool = True) -> None:
@@ -182,11 +185,16 @@ class Session:
         self._models_view()
         return model_id
 
-    def load_model(self, function_id: str, path: str, **options) -> str:
+    def load_model(self, function_id: str, path: str, remember: bool = True, **options) -> str:
+        """A model file as a function; a session with a catalog loads it again by its path."""
         operator = OnnxOperator.from_file(function_id, path, **options)
+        if remember and self.catalog:
+            self.catalog.put("models", f"{function_id}@{operator.version}", {"function_id": function_id, "path": path} | options)
         return self.register_model(operator, size=len(operator.content))
 
     def unregister_model(self, model_id: str) -> None:
+        if self.catalog and model_id in self.registry.models:
+            self.catalog.remove("models", "{name}@{version}".format(**self.registry.models[model_id]))
         self.registry.unregister(model_id)
         self._models_view()
 
@@ -221,10 +229,25 @@ class Session:
         pack = Pack.load(pack) if isinstance(pack, str) else pack
         for r in pack.rules:
             self.register_rule(r["name"], r["source"])
-        native = [m for m in pack.models if "weights" in m]
-        for m in native:
-            self.register_model(LinearOperator(**m))
-        return {"rules": len(pack.rules), "models": len(native)}
+        for m in pack.models:
+            self._load_packed(pack, m)
+        return {"rules": len(pack.rules), "models": len(pack.models)}
+
+    def _load_packed(self, pack: Pack, entry: dict) -> str:
+        """A model of a pack: native by its weights, or a file by its path (as it stands, or beside the pack)."""
+        if "weights" in entry:
+            return self.register_model(LinearOperator(**entry))
+        name, path = entry.get("name") or entry.get("function_id"), entry.get("artifact_path")
+        if not name or not path:
+            raise EngineError(f"pack {pack.name!r} has a model without weights and without artifact_path: {entry}")
+        found = next((p for p in (path, os.path.join(pack.folder, path)) if os.path.isfile(p)), None)
+        if found is None:
+            raise EngineError(f"pack {pack.name!r}: no model file {path!r}")
+        operator = OnnxOperator.from_file(name, found, version=pack.version, latency_ms=float(entry.get("avg_latency_ms", 1.0)), accuracy=float(entry.get("accuracy", 0.95)), features=entry.get("features"))
+        wanted = entry.get("num_features")
+        if wanted is not None and onnx_inputs(operator.content) != int(wanted):
+            raise EngineError(f"pack {pack.name!r}: {name} takes {onnx_inputs(operator.content)} numbers, not {wanted}")
+        return self.register_model(operator, size=len(operator.content))
 
     # queries
     def sql(self, text: str) -> QueryResult:
@@ -261,9 +284,14 @@ class Session:
         operators = {f"{o.function_id}@{o.version}": o for o in self.registry.operators.values()}
         if not operators:
             return frame, None
-        rows = frame.count()
-        plans = [pareto.plan_of(o, rows, self.devices.speed(getattr(o, "device_affinity", None))) for o in operators.values()]
-        chosen = pareto.choose(plans, constraints)
+        speeds = {k: self.devices.speed(getattr(o, "device_affinity", None)) for k, o in operators.items()}
+        choice = lambda rows: pareto.choose([pareto.plan_of(o, rows, speeds[k]) for k, o in operators.items()], constraints)
+        chosen = choice(0)
+        # latencies grow alike with the rows, so only a bound on the latency can make the choice depend on their number
+        if constraints.max_latency_ms is not None and chosen is not None:
+            most = pareto.rows_within(constraints.max_latency_ms, [o.latency_ms / speeds[k] for k, o in operators.items()])
+            if most is not None:
+                chosen = choice(frame.limit(most + 1).count())
         if chosen is None:
             return frame, None
         operator = operators[chosen.plan_id]

@@ -49,15 +49,18 @@ def read_any(spark: SparkSession, path: str, kind: str | None = None) -> DataFra
     return spark.read.format(kind).load(path)
 
 
-def to_arrow_stream(frame: DataFrame) -> bytes:
-    """The result as an Arrow IPC stream, for clients; a sink for results that fit a client."""
-    table = frame.toArrow()
+def arrow_stream(table: pa.Table) -> bytes:
     out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, table.schema) as writer:
         writer.write_table(table)
     return out.getvalue().to_pybytes()
 
 
+def to_arrow_stream(frame: DataFrame) -> bytes:
+    """The result as an Arrow IPC stream, for clients; a sink for results that fit a client."""
+    return arrow_stream(frame.toArrow())
+
+
 def from_arrow_stream(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 

@@ -7,13 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.errors import EngineError
+
 _OWN_DIR = "tessera.shared.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset and one machine runs all."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(_OWN_DIR, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise EngineError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set(_OWN_DIR, found)
     return found.rstrip("/")

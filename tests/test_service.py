@@ -79,7 +79,7 @@ def test_repl(session, tmp_path):
     repl = Repl(session, Hub(str(tmp_path / "hub")), model=lambda prompt: "r(X) :- t(X), X.score > 0.75.")
     assert "10 row(s)" in repl.run("SELECT id FROM t")
     assert "class A" in repl.run(".logic low score < 0.25") and "3 row(s)" in repl.run("SELECT * FROM t;")
-    assert repl.run(".drop low") == "dropped" and "spatial" in repl.run(".hub search 3d")
+    assert repl.run(".drop low") == "dropped" and "event-quality" in repl.run(".hub search stream")
     assert "2 row(s)" in repl.run(".refine only the high ones") and "refinement" in repl.run(".rules")
     (tmp_path / "c.csv").write_text("a,b\n1,x\n")
     assert repl.run(f".ingest {tmp_path}/c.csv {tmp_path}/c") == "1 row(s)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +12,15 @@ from tessera.control import limits, placement, policy, transactions
 from tessera.functions import estimates, spatial, vectors
 from tessera.hitl import explainer, lineage, monitor, triage
 from tessera.logic.canonical import canonical
-from tessera.logic.checker import Checker
-from tessera.logic.repair import candidates
-from tessera.models.operators import LinearOperator, neural_scan
+from tessera.logic.checker import Checker, nearest
+from tessera.logic.repair import attempt, candidates
+from tessera.models.operators import LinearOperator, Registry, export_onnx, neural_scan
+from tessera.operators import datalog
 from tessera.operators import provenance as prov
 from tessera.plans import pareto
 from tessera.plans.statements import Constraints
 from tessera.session import Config, Session
-from tessera.sources.ingest import ingest_csv
+from tessera.sources.ingest import from_arrow_stream, ingest_csv, ingest_frame, read_any, to_arrow_stream
 from tessera.sources.shared import Store
 from tessera.sources.versioned import VersionedTable
 
@@ -329,42 +331,75 @@ def constrained_query(spark, sf_dir):
     return s.sql(text).frame.select("l_orderkey", "l_linenumber", F.round("score", 6).alias("score"))
 
 
-_PLANS = "(VALUES ('fast', 10.0, 0.8, 0.01), ('accurate', 100.0, 0.99, 0.1), ('dominated', 100.0, 0.8, 0.1), ('even', 50.0, 0.9, 0.05)) p(plan_id, latency, accuracy, cost)"
-_FRONTIER = f"SELECT p.* FROM {_PLANS} WHERE NOT EXISTS (SELECT 1 FROM {_PLANS.replace(' p(', ' q(')} WHERE q.latency <= p.latency AND q.accuracy >= p.accuracy AND q.cost <= p.cost AND (q.latency < p.latency OR q.accuracy > p.accuracy OR q.cost < p.cost))"
-_CAST = "CAST(plan_id AS VARCHAR) AS plan_id, CAST(latency AS DOUBLE) AS latency, CAST(accuracy AS DOUBLE) AS accuracy, CAST(cost AS DOUBLE) AS cost"
+_PLANS = "(SELECT s_name AS plan_id, s_acctbal + 1000 AS latency, (s_suppkey % 89) / 100.0::DOUBLE AS accuracy, CAST(s_nationkey AS DOUBLE) AS cost FROM supplier)"
+_BEATS = "q.latency <= p.latency AND q.accuracy >= p.accuracy AND q.cost <= p.cost AND (q.latency < p.latency OR q.accuracy > p.accuracy OR q.cost < p.cost)"
+_FRONTIER = f"SELECT p.* FROM {_PLANS} p WHERE NOT EXISTS (SELECT 1 FROM {_PLANS} q WHERE {_BEATS})"
 
 
-def _plans(spark) -> DataFrame:
-    return spark.createDataFrame([("fast", 10.0, 0.8, 0.01), ("accurate", 100.0, 0.99, 0.1), ("dominated", 100.0, 0.8, 0.1), ("even", 50.0, 0.9, 0.05)], "plan_id string, latency double, accuracy double, cost double")
+def _plans(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "supplier").selectExpr("s_name AS plan_id", "s_acctbal + 1000 AS latency", "(s_suppkey % 89) / 100D AS accuracy", "double(s_nationkey) AS cost")
 
 
-@query(f"SELECT {_CAST} FROM ({_FRONTIER})")
+@query(_FRONTIER)
 def pareto_frontier(spark, sf_dir):
-    return pareto.frontier_frame(_plans(spark))
+    return pareto.frontier_frame(_plans(spark, sf_dir))
 
 
-@query(f"SELECT {_CAST} FROM ({_FRONTIER}) WHERE accuracy >= 0.85 ORDER BY latency LIMIT 1")
+@query(f"SELECT * FROM ({_FRONTIER}) WHERE accuracy >= 0.6 AND cost <= 20 ORDER BY latency, accuracy DESC, cost, plan_id LIMIT 1")
 def pareto_constrained(spark, sf_dir):
-    return pareto.choose_frame(_plans(spark), Constraints(min_accuracy=0.85))
+    return pareto.choose_frame(_plans(spark, sf_dir), Constraints(min_accuracy=0.6, max_cost=20))
 
 
-@query("SELECT 'core' AS plan_id, CAST(6.0 AS DOUBLE) AS latency")
+_SITES = "(SELECT s_name AS plan_id, s_acctbal + 1000 + s_nationkey * 10 AS latency, (s_suppkey % 89) / 100.0::DOUBLE AS accuracy, CAST(s_nationkey AS DOUBLE) AS cost FROM supplier)"
+
+
+@query(f"SELECT plan_id, latency FROM (SELECT p.* FROM {_SITES} p WHERE NOT EXISTS (SELECT 1 FROM {_SITES} q WHERE {_BEATS})) WHERE latency <= 6000 AND accuracy >= 0.3 ORDER BY accuracy DESC, latency, plan_id LIMIT 1")
 def pareto_distributed(spark, sf_dir):
-    sites = spark.createDataFrame([("edge", 0.5, 5.0, 0.75, 0.1), ("core", 4.0, 2.0, 0.95, 0.5), ("ensemble", 2.0, 10.0, 0.99, 1.0)], "plan_id string, compute_ms double, network_ms double, accuracy double, cost double")
-    return pareto.choose_distributed(sites, Constraints(max_latency_ms=10, min_accuracy=0.9)).select("plan_id", "latency")
+    sites = table(spark, sf_dir, "supplier").selectExpr("s_name AS plan_id", "s_acctbal + 1000 AS compute_ms", "s_nationkey * 10D AS network_ms", "(s_suppkey % 89) / 100D AS accuracy", "double(s_nationkey) AS cost")
+    return pareto.choose_distributed(sites, Constraints(max_latency_ms=6000, min_accuracy=0.3)).select("plan_id", "latency")
 
 
-@query("SELECT 'ensemble' AS name, CAST(0.99 AS DOUBLE) AS accuracy")
+@query("SELECT s_name AS name, (s_suppkey % 89) / 100.0::DOUBLE AS accuracy FROM supplier WHERE (s_suppkey % 89) / 100.0 >= 0.4 AND s_name <> 'Supplier#000000088' ORDER BY 2 DESC, 1 LIMIT 1")
 def progressive_rewrite(spark, sf_dir):
-    return pareto.progressive_rewrite("edge", 0.75, 0.9, spark.createDataFrame([("edge", 0.95), ("core", 0.95), ("ensemble", 0.99)], "name string, accuracy double"))
+    others = table(spark, sf_dir, "supplier").selectExpr("s_name AS name", "(s_suppkey % 89) / 100D AS accuracy")
+    return pareto.progressive_rewrite("Supplier#000000088", 0.25, 0.4, others)
 
 
-@query("SELECT * FROM (VALUES ('f', '10.0.0'), ('g', '1.2.0')) t(function_id, version)")
+@query("SELECT 'model_' || n_regionkey AS function_id, arg_max(n_nationkey || '.' || n_regionkey || '.0', n_nationkey) AS version FROM nation GROUP BY n_regionkey")
 def latest_model_version(spark, sf_dir):
-    """Versions in order of their numbers, kept as sortable arrays, so 10.0.0 is later than 9.0.0."""
-    known = spark.createDataFrame([("f", "9.0.0"), ("f", "10.0.0"), ("g", "1.2.0"), ("g", "1.1.9")], "function_id string, version string")
-    key = F.transform(F.split("version", r"\."), lambda p: p.cast("int"))
-    return known.groupBy("function_id").agg(F.max_by("version", key).alias("version"))
+    """The registry's latest version of each function, 10.0.0 being later than 9.0.0; versions are those of nations' numbers."""
+    registry = Registry()
+    for r in table(spark, sf_dir, "nation").orderBy(F.desc("n_name")).collect():  # 25 rows
+        registry.register(LinearOperator(f"model_{r['n_regionkey']}", [1.0], version=f"{r['n_nationkey']}.{r['n_regionkey']}.0"), r["n_name"])
+    names = sorted({f for f, _ in registry.operators})
+    return spark.createDataFrame([(f, registry.latest(f).version) for f in names], "function_id string, version string")
+
+
+_DEEP = LinearOperator("deep", [0.25, -0.125], 0.5, features=["l_linenumber", "l_quantity"])
+
+
+def _deep(spark, sf_dir) -> Session:
+    """A model file in a session: the operator exported, written and loaded."""
+    s = session(spark, sf_dir)
+    with tempfile.NamedTemporaryFile(suffix=".onnx") as f:
+        f.write(export_onnx(_DEEP))
+        f.flush()
+        s.load_model("deep", f.name, features=_DEEP.features)
+    return s
+
+
+_DEEP_SQL = "round(1 / (1 + exp(-(0.5 + 0.25 * l_linenumber - 0.125 * l_quantity))), 3)"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {_DEEP_SQL} AS p FROM lineitem")
+def onnx_predict(spark, sf_dir):
+    out = _deep(spark, sf_dir).sql("PREDICT VALUE OF x FROM lineitem WITH (model = 'deep')").frame
+    return out.select("l_orderkey", "l_linenumber", F.round("prediction_x", 3).alias("p"))
+
+
+@query(f"SELECT l_returnflag, count(*) FILTER (WHERE {_DEEP_SQL} > 0.25) AS n FROM lineitem GROUP BY 1")
+def onnx_function(spark, sf_dir):
+    return _deep(spark, sf_dir).sql("SELECT l_returnflag, count_if(round(deep(l_linenumber, l_quantity), 3) > 0.25) AS n FROM lineitem GROUP BY 1").frame
 
 
 @query("SELECT * FROM (VALUES ('m1', 'risk', '1.0.0', 1.0::DOUBLE, 0.95::DOUBLE)) t(model_id, name, version, avg_latency_ms, accuracy)")
@@ -473,10 +508,11 @@ def drop_null_rows(spark, sf_dir):
     return triage.drop_null_rows(holes).select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS tuple_id, count(*) AS hops, round(sum(value), 4) AS total_ms FROM events GROUP BY 1")
+@query("SELECT CAST(user_id AS VARCHAR) AS tuple_id, count(*) AS hops, round(sum(value), 4) AS total_ms, string_agg(event_id || ':' || event_type, '>' ORDER BY event_id) AS path FROM events GROUP BY 1")
 def lineage_trace(spark, sf_dir):
     segments = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("tuple_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("node"), F.lit("op").alias("operation"), F.col("value").alias("duration_ms"))
-    return lineage.traces(segments).select("tuple_id", "hops", F.round("total_ms", 4).alias("total_ms"))
+    path = F.array_join(F.transform("path", lambda x: F.concat_ws(":", x["seq"], x["node"])), ">")
+    return lineage.traces(segments).select("tuple_id", "hops", F.round("total_ms", 4).alias("total_ms"), path.alias("path"))
 
 
 # functions ------------------------------------------------------------------------------------------------------------
@@ -645,45 +681,52 @@ def csv_ingest(spark, sf_dir):
 
 
 # control --------------------------------------------------------------------------------------------------------------
-_LOG = [("p1", 1, True, "privacy", "a"), ("p2", 2, True, "cost", "b"), ("p1", 3, False, "privacy", "a"), ("p3", 4, True, "cost", "c")]
+def _log(spark, sf_dir) -> DataFrame:
+    """A log of policy changes: each nation is a change of its region's policy."""
+    return table(spark, sf_dir, "nation").selectExpr("concat('region_', n_regionkey) AS policy_id", "bigint(n_nationkey + 1) AS version", "n_nationkey % 3 > 0 AS active", "'area' AS category", "n_name AS body")
 
 
-def _log(spark) -> DataFrame:
-    return spark.createDataFrame(_LOG, policy.CHANGE)
+_LATEST = "SELECT 'region_' || n_regionkey AS policy_id, CAST(max(n_nationkey) + 1 AS BIGINT) AS version, max(n_nationkey) % 3 > 0 AS active FROM nation GROUP BY n_regionkey"
 
 
-@query("SELECT * FROM (VALUES ('p1', 3::BIGINT, false), ('p2', 2::BIGINT, true), ('p3', 4::BIGINT, true)) t(policy_id, version, active)")
+@query(_LATEST)
 def policy_latest(spark, sf_dir):
-    return policy.latest(_log(spark)).select("policy_id", "version", "active")
+    return policy.latest(_log(spark, sf_dir)).select("policy_id", "version", "active")
 
 
-@query("SELECT * FROM (VALUES ('p1', 3::BIGINT), ('p3', 4::BIGINT)) t(policy_id, version)")
+@query("SELECT 'region_' || n_regionkey AS policy_id, CAST(n_nationkey + 1 AS BIGINT) AS version FROM nation WHERE n_nationkey + 1 > 9")
 def policy_changesets_since(spark, sf_dir):
-    return policy.since(_log(spark), 2).select("policy_id", "version")
+    return policy.since(_log(spark, sf_dir), 9).select("policy_id", "version")
 
 
-@query("SELECT 2::BIGINT AS active, 3::BIGINT AS total, 4::BIGINT AS version")
+@query(f"SELECT count(*) FILTER (WHERE active) AS active, count(*) AS total, max(version) AS version FROM ({_LATEST})")
 def policy_active_count(spark, sf_dir):
-    return policy.summary(_log(spark))
+    return policy.summary(_log(spark, sf_dir))
 
 
-def _nodes(spark) -> DataFrame:
-    return spark.createDataFrame([("core-0", "core", 65536, 0, 0.2), ("edge-0", "edge", 4096, 2, 0.1), ("hybrid-0", "hybrid", 32768, 4, 0.3)], "node_id string, role string, memory_mb long, accelerators int, load double")
+def _nodes(spark, sf_dir) -> DataFrame:
+    """A cluster: nations as nodes of three roles."""
+    role = F.element_at(F.array(F.lit("core"), F.lit("edge"), F.lit("hybrid")), F.col("n_nationkey") % 3 + 1)
+    n = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("node_id"), role.alias("role"), (n * 512).cast("long").alias("memory_mb"), (n % 4).alias("accelerators"), ((n * 7 % 11) / 10).alias("load"))
 
 
-@query("SELECT 'edge-0' AS node_id")
+_NODES = "(SELECT n_name AS node_id, n_nationkey % 3 AS r, n_nationkey * 512 AS memory_mb, n_nationkey % 4 AS accelerators, (n_nationkey * 7 % 11) / 10 AS load FROM nation)"
+
+
+@query(f"SELECT node_id FROM {_NODES} WHERE accelerators > 0 ORDER BY r = 0, load, node_id LIMIT 1")
 def route_perception(spark, sf_dir):
-    return placement.route(_nodes(spark), "perception").select("node_id")
+    return placement.route(_nodes(spark, sf_dir), "perception").select("node_id")
 
 
-@query("SELECT 'core-0' AS node_id")
+@query(f"SELECT node_id FROM {_NODES} WHERE memory_mb >= 6000 AND r <> 1 ORDER BY load, node_id LIMIT 1")
 def route_symbolic(spark, sf_dir):
-    return placement.route(_nodes(spark), "symbolic", 8192).select("node_id")
+    return placement.route(_nodes(spark, sf_dir), "symbolic", 6000).select("node_id")
 
 
-@query("SELECT 'hybrid-0' AS node_id")
+@query(f"SELECT node_id FROM {_NODES} WHERE memory_mb >= 3000 AND (r = 2 OR (r = 0 AND accelerators > 0)) ORDER BY load, node_id LIMIT 1")
 def route_mixed(spark, sf_dir):
-    return placement.route(_nodes(spark), "mixed", 8192).select("node_id")
+    return placement.route(_nodes(spark, sf_dir), "mixed", 3000).select("node_id")
 
 
 @query("SELECT l_suppkey AS txn_id, count(DISTINCT l_partkey) AS keys FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1) GROUP BY 1")
@@ -710,8 +753,8 @@ def rate_limit_fold(spark, sf_dir):
 
 # rule tooling ---------------------------------------------------------------------------------------------------------
 _CANONICAL = {
-    "High_Risk(x) :- Transactions(x), x.fraud_prob > 0.9, x.amount > 10000.": "high_risk(X) :- transactions(X), X.amount > 10000, X.fraud_prob > 0.9.",
-    "result(X) :- orders(X), customers(X), X.amount > 100.": "result(X) :- customers(X), orders(X), X.amount > 100.",
+    "Cheap(l) :- LineItem(l), l.l_quantity >= 30, l.l_discount > 0.07.": "cheap(L) :- lineitem(L), L.l_discount > 0.07, L.l_quantity >= 30.",
+    "at(S) :- supplier(S), nation(S), S.s_acctbal < 0.": "at(S) :- nation(S), supplier(S), S.s_acctbal < 0.",
 }
 
 
@@ -736,3 +779,117 @@ def rule_repair(spark, sf_dir):
 def levenshtein_suggest(spark, sf_dir):
     d = F.levenshtein(F.col("n_name"), F.lit("NATION_1")).cast("long")
     return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), d.alias("d")).orderBy("d", "name").limit(5)
+
+
+@query("SELECT n_name AS name, 'NATION_' || (n_nationkey // 10) AS found FROM nation WHERE n_nationkey >= 10 AND n_nationkey % 10 = 9")
+def nearest_name(spark, sf_dir):
+    """Names with a digit too many: the nearest of those known."""
+    names = [r["n_name"] for r in table(spark, sf_dir, "nation").filter("n_nationkey >= 10 AND n_nationkey % 10 = 9").collect()]
+    return spark.createDataFrame([(n, nearest(n, ["NATION_1", "NATION_2", "NATION_3"])) for n in names], "name string, found string")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000")
+def repair_attempt(spark, sf_dir):
+    """A rule that finds nothing, and the rows of the first change of it that does: a tenth of its threshold."""
+    s = session(spark, sf_dir)
+    found = attempt("big(O) :- orders(O), O.o_totalprice > 2000000.", s.evaluate)
+    return found[1].select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_tax <> 0.04")
+def repair_skip(spark, sf_dir):
+    """A degraded run: the reviewer's verdict leaves incomplete rows out."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "nullif(l_tax, 0.04D) AS tax")
+    _, repair = triage.self_repair("unsupported codec in part 3", "risk", ["risk"])
+    return triage.apply_repair(rows, repair)[0].select("l_orderkey", "l_linenumber")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {_DEEP_SQL} AS p FROM lineitem WHERE l_quantity > 40")
+def repair_swap(spark, sf_dir):
+    """A recoverable error: the rows are scored by the other model."""
+    rows = table(spark, sf_dir, "lineitem").filter("l_quantity > 40")
+    _, repair = triage.self_repair("shape mismatch at the input", "risk", ["risk", "deep"])
+    models = {"deep": _DEEP}
+    scored, _ = triage.apply_repair(rows, repair, lambda f, m: f.withColumn("p", F.round(models[m].score([F.col(c) for c in models[m].features]), 3)))
+    return scored.select("l_orderkey", "l_linenumber", "p")
+
+
+@query("SELECT n_nationkey AS row, 'row ' || n_nationkey || ': query_pipeline:sql:[row_' || n_nationkey || ']' AS text FROM nation")
+def reasoning_text(spark, sf_dir):
+    frame = session(spark, sf_dir, provenance="polynomial").sql(_NATION).frame
+    return spark.createDataFrame(list(enumerate(explainer.reasoning(frame, "polynomial"))), "row int, text string")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 150000")
+def refine_query(spark, sf_dir):
+    """The last query again, under a rule that a text model makes of a request."""
+    s = session(spark, sf_dir)
+    s.sql("SELECT o_orderkey, o_totalprice FROM orders")
+    return s.refine("only the large ones", lambda prompt: "o_totalprice > 150000").frame
+
+
+@query("SELECT r_regionkey, r_name, n_nationkey AS k FROM region, nation")
+def datalog_product(spark, sf_dir):
+    return datalog.natural_join(table(spark, sf_dir, "region"), table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")))
+
+
+@query("SELECT role, count(*) AS n FROM (SELECT CASE WHEN n_nationkey % 3 = 0 THEN 'cuda' ELSE 'cpu' END AS role FROM nation) GROUP BY 1")
+def device_slots(spark, sf_dir):
+    """Requests of nations for a device; a kind that there is none of takes the least loaded slot."""
+    pool = placement.DevicePool([placement.Slot("a", "cpu"), placement.Slot("b", "cuda")])
+    kinds = [("cuda" if r["n_nationkey"] % 3 == 0 else "cpu") for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()]
+    return spark.createDataFrame([(pool.request(k).kind,) for k in kinds], "role string").groupBy("role").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation")
+def json_ingest(spark, sf_dir):
+    path = Store(spark, "nation-json").path
+    table(spark, sf_dir, "nation").select("n_nationkey", "n_name").write.json(f"{path}/in.json")
+    return ingest_frame(read_any(spark, f"{path}/in.json"), f"{path}/out").select("n_nationkey", "n_name")
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def orc_ingest(spark, sf_dir):
+    path = Store(spark, "supplier-orc").path
+    table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal").write.orc(f"{path}/in.orc")
+    return ingest_frame(read_any(spark, f"{path}/in.orc"), f"{path}/out")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 3")
+def versioned_overwrite(spark, sf_dir):
+    t = _versions(spark, sf_dir)
+    t.overwrite(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").filter("n_regionkey = 3"))
+    return t.read()
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def arrow_round_trip(spark, sf_dir):
+    """A result as an Arrow stream, read again."""
+    return spark.createDataFrame(from_arrow_stream(to_arrow_stream(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))))
+
+
+# more functions -------------------------------------------------------------------------------------------------------
+same_sql("fn_vector_distance", f"SELECT h.vec_id AS vec_id, round(sqrt({_sum_sql(f'pow({_e("h")} - {_e("t")}, 2)')}), 4) AS d FROM embeddings h JOIN embeddings t ON t.vec_id = h.vec_id + 1",
+         "SELECT h.vec_id AS vec_id, round(vector_distance(cast(h.embedding AS array<double>), cast(t.embedding AS array<double>)), 4) AS d FROM embeddings h JOIN embeddings t ON t.vec_id = h.vec_id + 1")
+same_sql("fn_spatial_distance", "SELECT p_partkey, round(sqrt(pow(p_size - 4, 2) + pow(p_retailprice - 900, 2) + 9), 6) AS d FROM part",
+         "SELECT p_partkey, round(spatial_distance(named_struct('x', double(p_size), 'y', p_retailprice, 'z', 0D), named_struct('x', 4D, 'y', 900D, 'z', 3D)), 6) AS d FROM part")
+same_sql("fn_audio_tempo", "SELECT user_id, round(CASE WHEN count(*) >= 2 AND max(hour(ts)) > min(hour(ts)) THEN 60 * (count(*) - 1) / (max(hour(ts)) - min(hour(ts))) END, 6) AS t FROM events GROUP BY 1",
+         "SELECT user_id, round(audio_tempo(e), 6) AS t FROM (SELECT user_id, collect_list(named_struct('label', event_type, 'start', double(hour(ts)), 'end', double(hour(ts) + 1), 'confidence', 1D)) AS e FROM events GROUP BY 1)")
+same_sql("sql_natural_join", "SELECT c_custkey, n_name FROM (SELECT c_custkey, c_nationkey AS k FROM customer) NATURAL JOIN (SELECT n_nationkey AS k, n_name FROM nation)",
+         "SELECT c_custkey, n_name FROM (SELECT c_custkey, c_nationkey AS k FROM customer) a NATURAL JOIN (SELECT n_nationkey AS k, n_name FROM nation) b")
+same_sql("sql_window_range", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey RANGE BETWEEN 3 PRECEDING AND 1 FOLLOWING) AS n FROM orders")
+same_sql("sql_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.none') AS none FROM events",
+         "SELECT event_id, cast(get_json_object(props, '$.k') AS bigint) AS k, get_json_object(props, '$.none') AS none FROM events")
+same_sql("sql_json_struct", "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS g, count(*) AS n FROM events GROUP BY 1", "SELECT from_json(props, 'k BIGINT').k % 10 AS g, count(*) AS n FROM events GROUP BY 1")
+same_sql("sql_struct", "SELECT o_orderkey, x.a AS a, x.b AS b FROM (SELECT o_orderkey, {'a': o_orderstatus, 'b': o_custkey} AS x FROM orders)", "SELECT o_orderkey, x.a AS a, x.b AS b FROM (SELECT o_orderkey, named_struct('a', o_orderstatus, 'b', o_custkey) AS x FROM orders)")
+same_sql("sql_map", "SELECT o_orderkey, cardinality(m) AS n, map_keys(m)[1] AS k, map_values(m)[2] AS v FROM (SELECT o_orderkey, map([o_orderstatus, 'all'], [o_custkey, o_orderkey]) AS m FROM orders)",
+         "SELECT o_orderkey, bigint(cardinality(m)) AS n, map_keys(m)[0] AS k, map_values(m)[1] AS v FROM (SELECT o_orderkey, map(o_orderstatus, o_custkey, 'all', o_orderkey) AS m FROM orders)")
+same_sql("sql_encode", "SELECT c_custkey, hex(c_name) AS h, base64(encode(c_name)) AS b, decode(unhex(hex(c_name))) AS d, url_encode(c_name) AS u FROM customer",
+         "SELECT c_custkey, hex(c_name) AS h, base64(encode(c_name, 'UTF-8')) AS b, decode(unhex(hex(c_name)), 'UTF-8') AS d, url_encode(c_name) AS u FROM customer")
+same_sql("sql_array_sets", "SELECT o_orderkey, array_to_string(list_sort(list_distinct(a)), ',') AS d, array_to_string(list_sort(list_intersect(a, b)), ',') AS i, array_to_string(a[2:3], ',') AS s, list_position(a, 2) AS p, list_sum(a) AS t"
+         " FROM (SELECT o_orderkey, [o_orderkey % 3, o_custkey % 3, 2, o_orderkey % 5] AS a, [0, 2, 4] AS b FROM orders)",
+         "SELECT o_orderkey, array_join(array_sort(array_distinct(a)), ',') AS d, array_join(array_sort(array_intersect(a, b)), ',') AS i, array_join(slice(a, 2, 2), ',') AS s, array_position(a, 2L) AS p, aggregate(a, 0L, (s, x) -> s + x) AS t"
+         " FROM (SELECT o_orderkey, array(o_orderkey % 3, o_custkey % 3, 2L, o_orderkey % 5) AS a, array(0L, 2L, 4L) AS b FROM orders)")
+same_sql("sql_trig", "SELECT l_orderkey, l_linenumber, round(sin(l_quantity), 6) AS s, round(cos(l_tax), 6) AS c, round(atan2(l_quantity, l_linenumber), 6) AS a, round(exp(l_discount), 6) AS e, round(degrees(l_tax), 6) AS d, round(radians(l_quantity), 6) AS r, factorial(l_linenumber) AS f FROM lineitem",
+         "SELECT l_orderkey, l_linenumber, round(sin(l_quantity), 6) AS s, round(cos(l_tax), 6) AS c, round(atan2(l_quantity, l_linenumber), 6) AS a, round(exp(l_discount), 6) AS e, round(degrees(l_tax), 6) AS d, round(radians(l_quantity), 6) AS r, decimal(factorial(int(l_linenumber))) AS f FROM lineitem")
+same_sql("sql_regexp_count", "SELECT p_partkey, len(regexp_extract_all(p_type, '[AEIOU]')) AS n, regexp_full_match(p_brand, '(Brand)#[0-9]+') AS m FROM part", "SELECT p_partkey, bigint(regexp_count(p_type, '[AEIOU]')) AS n, p_brand RLIKE '^(Brand)#[0-9]+$' AS m FROM part")

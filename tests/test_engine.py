@@ -11,9 +11,9 @@ from tessera.control import limits, placement, policy, transactions
 from tessera.control.packs import Hub, Pack
 from tessera.errors import EngineError, ModelNotFound, TableError, VersionConflict
 from tessera.functions import spatial, vectors
-from tessera.hitl import lineage, triage
+from tessera.hitl import explainer, lineage, triage
 from tessera.hitl.monitor import Monitor
-from tessera.models.operators import LinearOperator, OnnxOperator, Registry, version_key
+from tessera.models.operators import LinearOperator, OnnxOperator, Registry, export_onnx, version_key
 from tessera.operators import provenance as prov
 from tessera.plans import pareto
 from tessera.plans.statements import Constraints, parse_constraints, parse_predict
@@ -107,9 +107,9 @@ def test_statements():
 
 
 def test_planner(session):
-    plans = [pareto.Plan("fast", 10, 0.8, 0.01), pareto.Plan("accurate", 100, 0.99, 0.1), pareto.Plan("dominated", 100, 0.8, 0.1)]
-    assert [p.plan_id for p in pareto.frontier(plans)] == ["fast", "accurate"]
-    assert pareto.choose(plans, Constraints(min_accuracy=0.9)).plan_id == "accurate" and pareto.choose(plans, Constraints(max_latency_ms=1)) is None
+    plans = [pareto.Plan("p", 7, 0.6, 0.2), pareto.Plan("q", 31, 0.93, 0.2), pareto.Plan("r", 31, 0.6, 0.4), pareto.Plan("s", 8, 0.6, 0.1)]
+    assert [p.plan_id for p in pareto.frontier(plans)] == ["p", "q", "s"]
+    assert pareto.choose(plans, Constraints(min_accuracy=0.7)).plan_id == "q" and pareto.choose(plans, Constraints(max_latency_ms=3)) is None
     for name, ms, acc in (("slow", 5.0, 0.95), ("quick", 0.5, 0.75)):
         session.register_model(LinearOperator(name, [1.0], features=["fraud_prob"], latency_ms=ms, accuracy=acc))
     assert session.sql("SELECT * FROM transactions WITH (max_latency_ms = 50)").model == "quick@1.0.0"
@@ -260,8 +260,8 @@ def test_policies_and_placement(spark):
     assert tuple(policy.summary(c.frame(spark)).first()) == (1, 2, 3)
     d = policy.PolicyCatalog()
     assert d.apply(c.changes_since(0)) == 3 and d.apply(c.changes_since(0)) == 0
-    nodes = spark.createDataFrame([("core-0", "core", 65536, 0, 0.2), ("edge-0", "edge", 4096, 2, 0.1), ("hybrid-0", "hybrid", 32768, 4, 0.3)], "node_id string, role string, memory_mb long, accelerators int, load double")
-    assert [placement.route(nodes, t, 8192).first()["node_id"] for t in ("perception", "symbolic", "mixed")] == ["edge-0", "core-0", "hybrid-0"]
+    nodes = spark.createDataFrame([("a", "core", 9000, 0, 0.5), ("b", "edge", 5000, 1, 0.4), ("c", "hybrid", 8500, 3, 0.6), ("d", "core", 9500, 1, 0.9)], "node_id string, role string, memory_mb long, accelerators int, load double")
+    assert [placement.route(nodes, t, 8192).first()["node_id"] for t in ("perception", "symbolic", "mixed")] == ["b", "a", "c"]
     pool = placement.DevicePool([placement.Slot("c", "cpu"), placement.Slot("g", "cuda")])
     assert pool.request("cuda").name == "g" and pool.request("metal").name == "c" and pool.speed() == 50
 
@@ -275,6 +275,35 @@ def test_packs_and_hub(tmp_path, session):
     assert session.load_pack(hub.install("own")) == {"rules": 1, "models": 1} and "r" in session.rules
 
 
+def test_packs_load_model_files_or_say_why_not(tmp_path, session):
+    (tmp_path / "flat.onnx").write_bytes(export_onnx(LinearOperator("flat", [2.0, -1.0], 0.25, logistic=False)))
+    entry = {"name": "flat", "artifact_path": "flat.onnx", "num_features": 2, "avg_latency_ms": 2.5, "accuracy": 0.7}
+    Pack("files", version="2.1.0").model(**entry).save(str(tmp_path / "files.json"))
+    assert session.load_pack(str(tmp_path / "files.json")) == {"rules": 0, "models": 1}
+    assert session.registry.latest("flat").version == "2.1.0" and session.registry.latest("flat").latency_ms == 2.5
+    assert session.sql("SELECT flat(3, 1) AS y").frame.first()["y"] == 5.25
+    for bad in (entry | {"artifact_path": "none.onnx"}, entry | {"num_features": 3}, {"name": "neither"}):
+        with pytest.raises(EngineError):
+            session.load_pack(Pack("bad", models=[bad], folder=str(tmp_path)))
+
+
+def test_catalog_loads_models_again(spark, tmp_path):
+    (tmp_path / "m.onnx").write_bytes(export_onnx(LinearOperator("m", [1.0], 0.0)))
+    first = Session(spark, catalog=str(tmp_path / "catalog.json"))
+    model_id = first.load_model("m", str(tmp_path / "m.onnx"), version="3.0.0", accuracy=0.8)
+    again = Session(spark, catalog=str(tmp_path / "catalog.json"))
+    assert again.registry.latest("m").version == "3.0.0" and again.sql("SELECT m(0) AS p").frame.first()["p"] == 0.5
+    first.unregister_model(model_id)
+    assert not Session(spark, catalog=str(tmp_path / "catalog.json")).registry.models
+
+
+def test_median_is_exact(spark):
+    rng = np.random.default_rng(3)
+    for values in ([], [4.0], [1.0, 2.0], [5.0] * 999, rng.normal(size=30001).tolist(), rng.integers(0, 9, 4000).astype(float).tolist()):
+        frame = spark.createDataFrame([(v,) for v in [*values, None]], "score double")
+        assert explainer.score_stats(frame, "score").first()["median"] == (float(np.median(values)) if values else 0.0)
+
+
 def test_limits(spark):
     b = limits.TokenBucket(2, 1.0)
     assert [b.allow(t) for t in (0, 0, 0, 1, 1)] == [True, True, False, True, False]

@@ -57,12 +57,21 @@ def main() -> None:
     s = queries.session(spark, sf_dir, ("l_discount > 0.05 AND l_quantity > 25 AND l_returnflag = 'R'",))
     guarded = s.sql("SELECT * FROM lineitem").frame
     bare = timed(lambda: sink(lines))
-    watched = timed(lambda: sink(Monitor(("l_discount",)).attach(provenance.attach(lines))[0]))
+    traced = timed(lambda: sink(provenance.attach(lines)))
+    watched = timed(lambda: sink(Monitor(("l_discount",)).attach(lines)[0]))
+    both = timed(lambda: sink(Monitor(("l_discount",)).attach(provenance.attach(lines))[0]))
+    file_model = timed(lambda f=queries.onnx_predict(spark, sf_dir): sink(f))
+    whole = timed(lambda: sink(queries.QUERIES["guard_bare_result"](spark, sf_dir)))
     extra = {
         "rule_filter_rows_per_sec": round(n / timed(lambda: sink(guarded))),
         "model_rows_per_sec": round(n / seconds["predict_value"]),
         "bare_scan_sec": round(bare, 4),
-        "provenance_and_monitor_scan_sec": round(watched, 4),
+        "provenance_scan_sec": round(traced, 4),
+        "monitor_scan_sec": round(watched, 4),
+        "provenance_and_monitor_scan_sec": round(both, 4),
+        "monitor_rows_per_sec": round(n / watched),
+        "model_file_rows_per_sec": round(n / file_model),
+        "guard_with_session_and_planning_sec": round(whole, 4),
     }
     print(json.dumps({"metric": "headline queries, median seconds summed", "value": round(sum(seconds.values()), 4), "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "extra": extra}))
     spark.stop()

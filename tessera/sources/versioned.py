@@ -2,7 +2,7 @@
 
 ``_versions/<n>.json`` lists the files of version n. Writers add files under a folder of their own and commit by creating the
 next list, which fails if another writer was first (optimistic concurrency); nothing that a version lists is ever
-changed, so any version can be read. A delete rewrites only the files that hold a row to delete.
+changed, so any version can be read. Deletes, updates and merges rewrite only the files that hold a row they change.
 """
 
 from __future__ import annotations
@@ -110,33 +110,53 @@ class VersionedTable:
         if not old["files"]:
             return 0, base
         schema = T.StructType.fromJson(old["schema"])
-        frame = self.read(base)
         hit = F.coalesce(F.expr(predicate), F.lit(False))
-        touched = frame.filter(hit).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n")).collect()  # a row for each file touched
-        if not touched:
+        names, rows = self._touched(old, self._placed(base).filter(hit))
+        if not names:
             return 0, base
-        names = {f for r in touched for f in old["files"] if r["f"].endswith(f)}
-        part = self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in sorted(names)))
-        files = self._write(part.filter(~hit))
-        return sum(r["n"] for r in touched), self._commit(base, [f for f in old["files"] if f not in names] + files, schema)
+        files = self._write(self._files(names, schema).filter(~hit))
+        return rows, self._commit(base, [f for f in old["files"] if f not in names] + files, schema)
+
+    def _touched(self, listed: dict, rows: DataFrame) -> tuple[set[str], int]:
+        """The listed files that rows of the table stand in, and how many rows they are."""
+        found = rows.groupBy(F.col("_file").alias("f")).agg(F.count("*").alias("n")).collect()  # a row for each file touched
+        ends = {"/".join(r["f"].split("/")[-3:]) for r in found}
+        return {f for f in listed["files"] if f in ends}, sum(r["n"] for r in found)
+
+    def _placed(self, version: int) -> DataFrame:
+        return self.read(version).select("*", F.col("_metadata.file_path").alias("_file"))
+
+    def _files(self, names: set[str], schema: T.StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in sorted(names)))
 
     def update(self, assignments: dict[str, str], predicate: str) -> tuple[int, int]:
-        """(rows changed, version): columns set to SQL expressions where the predicate is true."""
+        """(rows changed, version): columns set to SQL expressions where the predicate is true. Without a hit there is no new version."""
         base = self.version
-        frame = self.read(base)
+        old = self._load(base)
+        schema = T.StructType.fromJson(old["schema"])
         hit = F.coalesce(F.expr(predicate), F.lit(False))
-        seen = Observation()
-        changed = frame.observe(seen, F.count(F.when(hit, 1)).alias("n"))
-        out = changed.select(*(F.when(hit, F.expr(assignments[f.name]).cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) if f.name in assignments else F.col(f.name) for f in frame.schema.fields))
-        files = self._write(out)
-        return int(seen.get["n"]), self._commit(base, files, frame.schema)
+        names, rows = self._touched(old, self._placed(base).filter(hit)) if old["files"] else (set(), 0)
+        if not names:
+            return 0, base
+        value = lambda f: F.when(hit, F.expr(assignments[f.name]).cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) if f.name in assignments else F.col(f.name)
+        files = self._write(self._files(names, schema).select(*map(value, schema.fields)))
+        return rows, self._commit(base, [f for f in old["files"] if f not in names] + files, schema)
 
     def merge(self, rows: DataFrame, keys: list[str]) -> int:
-        """Upsert by key: rows replace the table's rows of equal keys, others are added."""
+        """Upsert by key: rows replace the table's rows of equal keys, others are added. A key that repeats in rows is an error, as it
+        would not tell which row stands; a NULL key equals none and is added."""
         base = self.version
-        frame = self.read(base)
-        out = frame.join(rows.select(*keys), keys, "left_anti").select(*frame.columns).unionByName(rows.select(*frame.columns))
-        return self._commit(base, self._write(out), frame.schema)
+        old = self._load(base)
+        schema = T.StructType.fromJson(old["schema"])
+        if not rows.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").isEmpty():
+            raise TableError(f"rows to merge repeat a key {keys}")
+        added = rows.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields))
+        wanted = added.select(*keys)
+        names, _ = self._touched(old, self._placed(base).join(wanted, keys, "left_semi")) if old["files"] else (set(), 0)
+        files = self._write(added)
+        if names:
+            files += self._write(self._files(names, schema).join(wanted, keys, "left_anti").select(*schema.names))
+        return self._commit(base, [f for f in old["files"] if f not in names] + files, schema)
 
     def overwrite(self, frame: DataFrame) -> int:
         return self._commit(self.version, self._write(frame), frame.schema)

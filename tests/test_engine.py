@@ -195,6 +195,21 @@ def test_versioned_table(spark, tmp_path):
         t.read(42)
 
 
+def test_updates_and_merges_rewrite_only_files_they_hit(spark, tmp_path):
+    t = VersionedTable(spark, f"{tmp_path}/t")
+    part = lambda lo, hi, word: spark.createDataFrame([(i, word) for i in range(lo, hi)], "id int, word string").coalesce(1)
+    t.create(part(0, 5, "a"))
+    t.insert(part(5, 10, "b"))
+    first, second = sorted(t._load(1)["files"]), sorted(set(t._load(2)["files"]) - set(t._load(1)["files"]))
+    assert t.update({"word": "'c'"}, "id = 7") == (1, 3) and set(first) <= set(t._load(3)["files"]) and not set(second) & set(t._load(3)["files"])
+    assert t.update({"word": "'c'"}, "id = 70") == (0, 3)
+    assert t.merge(spark.createDataFrame([(3, "d"), (30, "d"), (None, "d")], "id int, word string"), ["id"]) == 4
+    assert not set(first) & set(t._load(4)["files"])
+    assert {tuple(r) for r in t.read().collect()} == {(None, "d"), (30, "d"), *((i, {3: "d", 7: "c"}.get(i, "a" if i < 5 else "b")) for i in range(10))} and t.read().count() == 12
+    with pytest.raises(TableError):
+        t.merge(spark.createDataFrame([(1, "x"), (1, "y")], "id int, word string"), ["id"])
+
+
 def test_commits_are_first_come(spark, tmp_path):
     t = VersionedTable(spark, f"{tmp_path}/t")
     rows = spark.createDataFrame([(1,)], "id int")

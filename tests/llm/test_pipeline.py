@@ -75,3 +75,48 @@ def test_near_copies_with_scattered_edits_go(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], COLUMNS)
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id").collect()}
     assert kept == {i for i in range(len(texts)) if i % 2 == 0 or not alike(texts[i - 1], texts[i])} == {0, 2, 4, 6, 8, 9, 10, 11}
+
+
+def test_run_against_brute_force(spark, folder):
+    from test_operators import greedy, hits
+
+    from tessera.llm import quality, secrets
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    scores = {r["doc_id"]: r["score"] for r in quality.score_quality(spark, docs, quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))).collect()}
+    left = {r["doc_id"]: r["text"] for r in docs.collect() if scores[r["doc_id"]] >= 0.5}
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    root = {}
+    for d in sorted(left):
+        mine = shingles(left[d])
+        alike = {root[e] for e in root if mine and 100 * len(mine & shingles(left[e])) >= 80 * len(mine | shingles(left[e]))}
+        root[d] = min(alike, default=d)
+        root = {e: root[d] if r in alike else r for e, r in root.items()}
+    left = {d: t for d, t in left.items() if root[d] == d}
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    clean = {d for d, _, marked, _ in hits(left.items(), items) if not marked}
+    left = {d: t for d, t in left.items() if d in clean}
+    kept = spark.createDataFrame([(d, t, None, None, 0) for d, t in left.items()], COLUMNS)
+    model = secrets.train(kept)
+
+    def masked(t):
+        spans = [(a, b) for a, _, b in secrets.base_spans(t)]
+        spans += [m.span() for m in secrets.TOKEN.finditer(t) if len(m[0]) >= secrets.LEAST and model.ratio([m[0]])[0] >= model.threshold and all(b <= m.start() or m.end() <= a for a, b in spans)]
+        out, at = "", 0
+        for a, b in sorted(spans):
+            if a >= at:
+                out += t[at:a] + secrets.MASK
+            at = max(at, b)
+        return out + t[at:]
+
+    expected = {d: greedy(masked(t) if t else t) for d, t in left.items()}
+    packed, bins = {}, {}
+    for r in corpus_pipeline.run(spark, folder).collect():
+        packed[r["doc_id"]] = packed.get(r["doc_id"], 0) + r["n_tokens"]
+        if r["bin_id"] is not None:
+            bins[r["bin_id"]] = bins.get(r["bin_id"], 0) + r["n_tokens"]
+    assert packed == expected and max(bins.values()) <= 2048

@@ -103,7 +103,7 @@ class Repl:
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tessera")
-    parser.add_argument("command", nargs="?", choices=("serve", "init", "status"))
+    parser.add_argument("command", nargs="?", choices=("serve", "start", "init", "status"))
     parser.add_argument("-e", "--execute")
     parser.add_argument("--home", default="tessera-home")
     parser.add_argument("--config")
@@ -121,13 +121,13 @@ def main(argv: list[str] | None = None) -> int:
         print(", ".join(f"{len(v)} {k}" for k, v in data.items()))
         return 0
     spark = SparkSession.builder.appName("tessera").getOrCreate()
-    session = Session(spark, Config.from_toml(args.config) if args.config else None, catalog=str(home / "catalog.json"))
-    if args.command == "serve":
+    session = Session(spark, Config.from_toml(args.config) if args.config else None, catalog=str(home / "catalog.json"), hub=str(home / "hub"))
+    if args.command in ("serve", "start"):
         with Server(session, port=args.port) as server:
             print(f"listening on {server.port}")
             server.serve_forever()
         return 0
-    repl = Repl(session, Hub(str(home / "hub")))
+    repl = Repl(session, session.hub)
     lines = [args.execute] if args.execute else sys.stdin
     for line in lines:
         try:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
@@ -53,7 +54,7 @@ class Hub:
         self.folder.mkdir(parents=True, exist_ok=True)
         for pack in SEED:
             if not (self.folder / f"{pack.name}.json").exists():
-                pack.save(str(self.folder / f"{pack.name}.json"))
+                self.publish(pack)
         self.installed: dict[str, Pack] = {}
 
     def packs(self) -> list[Pack]:
@@ -64,12 +65,24 @@ class Hub:
         w = word.lower()
         return [p for p in self.packs() if w in p.name.lower() or w in p.description.lower() or any(w in t.lower() for t in p.tags)]
 
-    def publish(self, pack: Pack) -> None:
-        pack.save(str(self.folder / f"{pack.name}.json"))
+    def publish(self, pack: Pack) -> str:
+        """Add or replace a pack; returns its checksum, which every install compares with the file."""
+        path = self.folder / f"{pack.name}.json"
+        pack.save(str(path))
+        path.with_suffix(".sha256").write_text(digest := hashlib.sha256(path.read_bytes()).hexdigest())
+        return digest
 
-    def install(self, name: str) -> Pack:
+    def install(self, reference: str) -> Pack:
+        """A pack by name, or name@version, which must be the version that is there."""
+        name, _, version = reference.rpartition("/")[2].partition("@")
         path = self.folder / f"{name}.json"
         if not path.exists():
             raise EngineError(f"the hub has no pack {name!r}")
-        self.installed[name] = Pack.load(str(path))
-        return self.installed[name]
+        told = path.with_suffix(".sha256")
+        if told.exists() and told.read_text().strip() != hashlib.sha256(path.read_bytes()).hexdigest():
+            raise EngineError(f"pack {name!r} is not what was published: its checksum differs")
+        pack = Pack.load(str(path))
+        if version and pack.version != version:
+            raise EngineError(f"the hub has {name!r} in version {pack.version}, not {version}")
+        self.installed[name] = pack
+        return pack

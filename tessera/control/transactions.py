@@ -1,7 +1,8 @@
-"""Optimistic transactions over keys, and figures of a transaction log."""
+"""Optimistic and locking transactions over keys, and figures of a transaction log."""
 
 from __future__ import annotations
 
+import threading
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -40,6 +41,56 @@ class OptimisticController:
         txn.state = "aborted"
 
 
+class LockingController:
+    """Strict two-phase locking on the driver: a write takes its key's lock, all are given back at the end; a lock that another holds
+    is waited for, unless that would close a circle of waits, which aborts the one that asks."""
+
+    def __init__(self):
+        self.held: dict[str, Transaction] = {}
+        self.waits: dict[int, Transaction] = {}
+        self.free = threading.Condition()
+        self.count = 0
+
+    def begin(self) -> Transaction:
+        with self.free:
+            self.count += 1
+            return Transaction(self.count)
+
+    def write(self, txn: Transaction, key: str, wait: bool = True) -> None:
+        with self.free:
+            while (owner := self.held.get(key)) is not None and owner is not txn:
+                seen = owner
+                while seen is not None and seen is not txn:
+                    seen = self.waits.get(seen.txn_id)
+                if seen is txn or not wait:
+                    self._end(txn, "aborted")
+                    raise VersionConflict(f"transaction {txn.txn_id} cannot have {key!r}, which {owner.txn_id} holds")
+                self.waits[txn.txn_id] = owner
+                self.free.wait()
+                self.waits.pop(txn.txn_id, None)
+            self.held[key] = txn
+            txn.writes.add(key)
+
+    def _end(self, txn: Transaction, state: str) -> None:
+        txn.state = state
+        self.held = {k: t for k, t in self.held.items() if t is not txn}
+        self.waits.pop(txn.txn_id, None)
+        self.free.notify_all()
+
+    def commit(self, txn: Transaction) -> None:
+        with self.free:
+            self._end(txn, "committed")
+
+    def abort(self, txn: Transaction) -> None:
+        with self.free:
+            self._end(txn, "aborted")
+
+
+def controller(conflict_rate: float, mean_us: float) -> OptimisticController | LockingController:
+    """The controller that the figures of a log advise."""
+    return LockingController() if advised(conflict_rate, mean_us) == "two_phase" else OptimisticController()
+
+
 def advised(conflict_rate: float, mean_us: float) -> str:
     return "two_phase" if conflict_rate > CONFLICTS or mean_us > SLOW_US else "optimistic"
 

@@ -119,41 +119,60 @@ def evaluate(rule: Rule, relations: Relations, override: dict[int, DataFrame] |
 
 
 def fixpoint(spark: SparkSession, rules: list[Rule], relations: Relations, most: int = MAX_ROUNDS) -> DataFrame:
-    """All rows of the rules' common head, semi-naive: each round joins only the rows that were new in the last one.
+    """All rows of the rules' common head."""
+    heads = {r.head.relation.lower() for r in rules if r.head}
+    if len(heads) != 1:
+        raise RuleError("a fixpoint needs rules of one head")
+    return fixpoints(spark, rules, relations, most)[heads.pop()]
+
+
+def fixpoints(spark: SparkSession, rules: list[Rule], relations: Relations, most: int = MAX_ROUNDS) -> dict[str, DataFrame]:
+    """All rows of every head of rules that use each other, semi-naive: each round joins only the rows that were new in the last one.
 
     Rounds are written to the shared folder, which cuts the lineage. Raises FixpointError if rows still come after that
     many rounds; a cyclic graph settles, as known rows are no news.
     """
-    heads = {r.head.relation.lower() for r in rules if r.head}
-    if len(heads) != 1:
-        raise RuleError("a fixpoint needs rules of one head")
-    head = heads.pop()
-    columns = list(rules[0].head.args)
-    own = lambda a: a.relation.lower() == head
-    seeds = [evaluate(r, relations) for r in rules if not any(own(a) for a in r.atoms)]
-    try:
-        seeds.append(relations(head))
-    except (KeyError, RuleError):
-        pass
-    if not seeds:
-        raise RuleError(f"{head} has no rows to begin with: add facts or a rule that is not recursive")
+    columns: dict[str, list[str]] = {}
+    for r in rules:
+        columns.setdefault(r.head.relation.lower(), list(r.head.args))
+    own = lambda a: a.relation.lower() in columns
+    seeds: dict[str, list[DataFrame]] = {h: [] for h in columns}
+    for r in rules:
+        if not any(own(a) for a in r.atoms):
+            seeds[r.head.relation.lower()].append(evaluate(r, relations))
+    for head in columns:
+        try:
+            seeds[head].append(relations(head))
+        except (KeyError, RuleError):
+            pass
+    if not any(seeds.values()):
+        raise RuleError(f"{', '.join(sorted(columns))}: no rows to begin with: add facts or a rule that is not recursive")
     store = Store(spark, "fixpoint")
-    named = [s.toDF(*columns) for s in seeds]
-    known = delta = store.put("0", reduce(DataFrame.union, named).distinct())
-    parts = ["0"]
+    known: dict[str, DataFrame] = {}
+    for head, frames in seeds.items():
+        if frames:
+            known[head] = store.put(f"{head}-0", reduce(DataFrame.union, [f.toDF(*columns[head]) for f in frames]).distinct())
+    delta, parts = dict(known), {h: [f"{h}-0"] for h in known}
     for k in range(1, most + 1):
-        made = []
+        made: dict[str, list[DataFrame]] = {}
         for r in rules:
             for i, a in enumerate(r.atoms):
-                if own(a):
-                    others = {j: known for j, b in enumerate(r.atoms) if own(b) and j != i}
-                    made.append(evaluate(r, relations, {**others, i: delta}).toDF(*columns))
-        if not made:
-            return known
-        fresh = reduce(DataFrame.union, made).distinct().join(known, columns, "left_anti")
-        delta = store.put(str(k), fresh)
-        if delta.limit(1).isEmpty():
+                if own(a) and a.relation.lower() in delta:
+                    others = {j: known.get(b.relation.lower()) for j, b in enumerate(r.atoms) if own(b) and j != i}
+                    if all(f is not None for f in others.values()):
+                        head = r.head.relation.lower()
+                        made.setdefault(head, []).append(evaluate(r, relations, {**others, i: delta[a.relation.lower()]}).toDF(*columns[head]))
+        delta = {}
+        for head, frames in made.items():
+            fresh = reduce(DataFrame.union, frames).distinct()
+            if head in known:
+                fresh = fresh.join(known[head], columns[head], "left_anti")
+            fresh = store.put(f"{head}-{k}", fresh)
+            if not fresh.isEmpty():
+                delta[head] = fresh
+        if not delta:
             return known
-        parts.append(str(k))
-        known = spark.read.schema(delta.schema).parquet(*(f"{store.path}/{p}" for p in parts))
-    raise FixpointError(f"{head} still grows after {most} rounds")
+        for head, fresh in delta.items():
+            parts.setdefault(head, []).append(f"{head}-{k}")
+            known[head] = spark.read.schema(fresh.schema).parquet(*(f"{store.path}/{p}" for p in parts[head]))
+    raise FixpointError(f"{', '.join(sorted(delta))} still grows after {most} rounds")

@@ -73,3 +73,33 @@ def parse_constraints(text: str) -> tuple[str, Constraints | None]:
         except ValueError:
             values[key] = None
     return text[: m.start()].strip(), Constraints(**values)
+
+
+CALLS = ("hub_search", "hub_install", "distill_model", "finetune_model")
+_CALL = re.compile(rf"^\s*SELECT\s+({'|'.join(CALLS)})\s*\((.*)\)(?:\s+AS\s+({_NAME}))?\s*;?\s*$", re.IGNORECASE | re.DOTALL)
+_ARGUMENT = re.compile(rf"\s*(?:({_NAME})\s*=>\s*)?('(?:[^']|'')*'|-?\d+(?:\.\d+)?(?:[eE]-?\d+)?)\s*(?:,|$)")
+
+
+@dataclass(frozen=True)
+class Call:
+    function: str
+    target: str
+    options: dict[str, str | float]
+    alias: str
+
+
+def parse_call(text: str) -> Call | None:
+    """SELECT function('target', name => value, ...) [AS alias] of a function that acts on the session; None for other statements."""
+    m = _CALL.match(text)
+    if not m:
+        return None
+    values, at = [], 0
+    while at < len(m[2]):
+        found = _ARGUMENT.match(m[2], at)
+        if not found:
+            raise EngineError(f"{m[1]} takes a quoted name, then name => value: {m[2][at:]!r}")
+        values.append((found[1], found[2][1:-1].replace("''", "'") if found[2].startswith("'") else float(found[2])))
+        at = found.end()
+    if not values or values[0][0] or not isinstance(values[0][1], str) or any(k is None for k, _ in values[1:]):
+        raise EngineError(f"{m[1]} takes a quoted name, then name => value")
+    return Call(m[1].lower(), values[0][1], {k.lower(): v for k, v in values[1:]}, m[3] or m[1].lower())

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.control import limits, placement, policy, transactions
+from tessera.control.packs import Hub
 from tessera.functions import estimates, spatial, vectors
 from tessera.hitl import explainer, lineage, monitor, triage
 from tessera.logic.canonical import canonical
@@ -893,3 +894,54 @@ same_sql("sql_array_sets", "SELECT o_orderkey, array_to_string(list_sort(list_di
 same_sql("sql_trig", "SELECT l_orderkey, l_linenumber, round(sin(l_quantity), 6) AS s, round(cos(l_tax), 6) AS c, round(atan2(l_quantity, l_linenumber), 6) AS a, round(exp(l_discount), 6) AS e, round(degrees(l_tax), 6) AS d, round(radians(l_quantity), 6) AS r, factorial(l_linenumber) AS f FROM lineitem",
          "SELECT l_orderkey, l_linenumber, round(sin(l_quantity), 6) AS s, round(cos(l_tax), 6) AS c, round(atan2(l_quantity, l_linenumber), 6) AS a, round(exp(l_discount), 6) AS e, round(degrees(l_tax), 6) AS d, round(radians(l_quantity), 6) AS r, decimal(factorial(int(l_linenumber))) AS f FROM lineitem")
 same_sql("sql_regexp_count", "SELECT p_partkey, len(regexp_extract_all(p_type, '[AEIOU]')) AS n, regexp_full_match(p_brand, '(Brand)#[0-9]+') AS m FROM part", "SELECT p_partkey, bigint(regexp_count(p_type, '[AEIOU]')) AS n, p_brand RLIKE '^(Brand)#[0-9]+$' AS m FROM part")
+
+
+# statements and rules that use each other -----------------------------------------------------------------------------
+@query(f"WITH RECURSIVE e AS ({_EDGES}), p(x, y, odd) AS (SELECT a, b, true FROM e UNION SELECT p.x, e.b, NOT p.odd FROM p JOIN e ON p.y = e.a) SELECT x AS \"A\", y AS \"C\" FROM p WHERE NOT odd")
+def datalog_mutual_recursion(spark, sf_dir):
+    """Pairs of nations joined by a path of an even number of edges."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey")
+    edges = n.selectExpr("n_nationkey AS a", "(n_nationkey * 2 + 1) % 25 AS b").union(n.selectExpr("n_nationkey", "(n_nationkey + 10) % 25")).distinct()
+    s = session(spark, sf_dir, ("odd(A, B) :- edges(A, B).", "odd(A, C) :- even(A, B), edges(B, C)."))
+    s.add_facts("edges", edges)
+    return s.evaluate("even(A, C) :- odd(A, B), edges(B, C).")
+
+
+@query("SELECT 'event-quality' AS name, '1.0.0' AS version")
+def hub_search(spark, sf_dir):
+    with tempfile.TemporaryDirectory() as folder:
+        return Session(spark, Config(provenance="none"), hub=folder).sql("SELECT hub_search('monitoring') AS packs").frame.select("name", "version")
+
+
+@query("SELECT count(*) AS n FROM lineitem WHERE l_discount > 0.08 AND l_quantity > 30")
+def hub_install(spark, sf_dir):
+    """The rule of an installed pack, evaluated."""
+    with tempfile.TemporaryDirectory() as folder:
+        s = session(spark, sf_dir)
+        s.hub = Hub(folder)
+        s.sql("SELECT hub_install('discount-review@1.0.0') AS result").frame.count()
+    return s.evaluate("deep_discount").agg(F.count("*").alias("n"))
+
+
+def _labelled(spark, sf_dir) -> Session:
+    s = session(spark, sf_dir)
+    s.register_table("labelled", table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_quantity", "bigint(l_quantity > 25) AS label"))
+    s.register_model(LinearOperator("large", [0.0], 0.0, features=["l_quantity"]), "large-1")
+    return s
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_quantity > 25 AS BIGINT) AS large FROM lineitem")
+def finetune_model(spark, sf_dir):
+    """A model of no knowledge, fine-tuned to tell quantities over 25; its classes are the labels."""
+    s = _labelled(spark, sf_dir)
+    s.sql("SELECT finetune_model('large', target_table => 'labelled', epochs => 8) AS id")
+    return s.sql("PREDICT CLASS OF large FROM labelled WITH (model = 'large')").frame.selectExpr("l_orderkey", "l_linenumber", "prediction_large AS large")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_quantity > 25 AS BIGINT) AS large FROM lineitem")
+def distill_model(spark, sf_dir):
+    """A student of a teacher that tells quantities over 25; its classes are the teacher's."""
+    s = _labelled(spark, sf_dir)
+    s.register_model(LinearOperator("teacher", [0.5], -12.75, features=["l_quantity"]), "teacher-1")
+    s.sql("SELECT distill_model('teacher', target_table => 'labelled', name => 'student') AS id")
+    return s.sql("PREDICT CLASS OF large FROM labelled WITH (model = 'student')").frame.selectExpr("l_orderkey", "l_linenumber", "prediction_large AS large")

@@ -9,11 +9,12 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.control.packs import Pack
+from tessera.control.packs import Hub, Pack
 from tessera.control.placement import DevicePool, Slot
 from tessera.errors import EngineError, RuleError, TableError
 from tessera.functions import spatial, vectors
@@ -21,12 +22,12 @@ from tessera.hitl import explainer
 from tessera.hitl.monitor import Anomaly, Monitor
 from tessera.logic.checker import Checker
 from tessera.logic.language import compile_rule
-from tessera.logic.parser import Rule, parse_rule
-from tessera.models.operators import LinearOperator, OnnxOperator, Operator, Registry, checked_arguments, model_features, onnx_inputs, onnx_udf, predict
+from tessera.logic.parser import Rule, parse_rule, used_together
+from tessera.models.operators import LinearOperator, OnnxOperator, Operator, Registry, checked_arguments, model_features, onnx_inputs, onnx_udf, predict, version_key
 from tessera.operators import datalog, provenance
 from tessera.operators.guards import guard_result, guard_scan
 from tessera.plans import pareto
-from tessera.plans.statements import Constraints, Predict, parse_constraints, parse_predict
+from tessera.plans.statements import Call, Constraints, Predict, parse_call, parse_constraints, parse_predict
 from tessera.shipping import ensure_shipped
 from tessera.sources.catalog import Catalog
 from tessera.sources.versioned import VersionedTable
@@ -75,7 +76,7 @@ class QueryResult:
 
 
 class Session:
-    def __init__(self, spark: SparkSession, config: Config | None = None, catalog: str | None = None, devices: list[Slot] | None = None):
+    def __init__(self, spark: SparkSession, config: Config | None = None, catalog: str | None = None, devices: list[Slot] | None = None, hub: Hub | str | None = None):
         ensure_shipped(spark)
         self.spark, self.config = spark, config or Config()
         self.rules: dict[str, Rule] = {}
@@ -84,6 +85,7 @@ class Session:
         self.registry = Registry()
         self.devices = DevicePool(devices or [Slot("cpu-0", "cpu")])
         self.last_sql: str | None = None
+        self.hub = Hub(hub) if isinstance(hub, str) else hub
         self.catalog = Catalog(catalog) if catalog else None
         self._register_functions()
         if self.catalog:
@@ -168,10 +170,28 @@ class Session:
             if not owners:
                 raise RuleError(f"no relation has the columns {found.columns}")
             return guard_result(self.relation(owners[0]), [found], self.config.rule_mode)
-        heads = [r for r in self.rules.values() if r.head and r.head.relation.lower() == found.head.relation.lower() and r.source != found.source]
-        if found.is_recursive:
-            return datalog.fixpoint(self.spark, [*heads, found], self.relation)
-        return datalog.evaluate(found, self.relation)
+        known = [*(r for r in self.rules.values() if r.source != found.source), found]
+        head = found.head.relation.lower()
+        together = used_together(known, head)
+        if not together and not found.is_recursive:
+            return datalog.evaluate(found, self._derived(found))
+        together |= {head}
+        rules = [r for r in known if r.head and r.head.relation.lower() in together]
+        return datalog.fixpoints(self.spark, rules, self._derived(found, together))[head]
+
+    def _derived(self, rule: Rule, together: set[str] = frozenset()) -> Callable[[str], DataFrame]:
+        """Relations by name: tables and facts, and for other names the rows of the rules of that head."""
+
+        def relation(name: str) -> DataFrame:
+            key = name.lower()
+            if key not in self.tables and key not in self.facts and key not in together:
+                of = [r for r in self.rules.values() if r.head and r.head.relation.lower() == key and r.source != rule.source]
+                if of:
+                    parts = [self.evaluate(r) for r in (of[:1] if used_together(list(self.rules.values()), key) else of)]
+                    return reduce(lambda x, y: x.union(y.toDF(*x.columns)), parts)
+            return self.relation(name)
+
+        return relation
 
     def evaluate_all(self) -> dict[str, DataFrame]:
         """Rows of every rule, by name; their columns may differ."""
@@ -256,6 +276,9 @@ class Session:
         statement = parse_predict(text)
         if statement is not None:
             return self.predict(statement)
+        call = parse_call(text)
+        if call is not None:
+            return QueryResult(self.call(call), "none")
         query, constraints = parse_constraints(text)
         self.last_sql = text
         frame, model = self.spark.sql(query), None
@@ -302,6 +325,33 @@ class Session:
             return frame, None
         return (frame.select(score) if self.config.constrained_output == "replace" else frame.select("*", score)), chosen.plan_id
 
+    def call(self, call: Call) -> DataFrame:
+        """Statements that act on the session: packs of its hub, and models made of others."""
+        options = dict(call.options)
+        if call.function.startswith("hub_"):
+            if self.hub is None:
+                raise EngineError("the session has no hub")
+            if call.function == "hub_search":
+                found = [(p.name, p.version, p.description) for p in self.hub.search(call.target)]
+                return self.spark.createDataFrame(found, "name string, version string, description string")
+            done = self.load_pack(self.hub.install(call.target))
+            return self.spark.createDataFrame([(f"{call.target}: {done['rules']} rule(s), {done['models']} model(s)",)], f"`{call.alias}` string")
+        old, table = self.registry.latest(call.target), options.pop("target_table", None)
+        if not isinstance(table, str):
+            raise EngineError(f"{call.function} needs target_table => 'name'")
+        rows = self.table(table)
+        if call.function == "distill_model":
+            from tessera.models.distill import distill
+
+            made = distill(rows, old, str(options.get("name", f"{call.target}_student")), old.features or model_features(old, rows), epochs=int(options.get("epochs", 50)), latency_ms=float(options.get("target_latency_ms", 0.1))).student
+        else:
+            from tessera.models.finetune import finetune
+
+            version = str(options.get("version", f"{version_key(old.version)[0][1] + 1}.0.0"))
+            made = finetune(rows, old, str(options.get("label", "label")), version, epochs=int(options.get("epochs", 5))).model
+        model_id = self.register_model(made)
+        return self.spark.createDataFrame([(model_id, made.function_id, made.version, float(made.accuracy))], f"`{call.alias}` string, name string, version string, accuracy double")
+
     def refine(self, request: str, model: Callable[[str], str]) -> QueryResult:
         """Add a rule made of the request and run the last query again."""
         if self.last_sql is None:

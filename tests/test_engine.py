@@ -2,6 +2,7 @@
 
 import json
 import struct
+import threading
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from tessera.errors import EngineError, ModelNotFound, TableError, VersionConfli
 from tessera.functions import spatial, vectors
 from tessera.hitl import explainer, lineage, triage
 from tessera.hitl.monitor import Monitor
+from tessera.models.finetune import finetune
 from tessera.models.operators import LinearOperator, OnnxOperator, Registry, export_onnx, version_key
 from tessera.operators import provenance as prov
 from tessera.plans import pareto
@@ -350,3 +352,72 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["n"] for r in spark.sql("SELECT n FROM rates").collect()} == {10}
+
+
+def test_hub_and_model_statements(spark, tmp_path):
+    s = Session(spark, Config(provenance="none"), hub=str(tmp_path))
+    assert [r["name"] for r in s.sql("SELECT hub_search('STREAM') AS packs").frame.collect()] == ["event-quality"]
+    assert s.sql("SELECT hub_install('any/event-quality@1.0.0') AS result").frame.first()["result"].endswith("1 rule(s), 0 model(s)") and "weak" in s.rules
+    for bad in ("SELECT hub_install('event-quality@9.0.0')", "SELECT hub_install('nothing')", "SELECT hub_install(nothing)", "SELECT distill_model('none', target_table => 'rows')"):
+        with pytest.raises((EngineError, ModelNotFound)):
+            s.sql(bad)
+    (tmp_path / "event-quality.json").write_text((tmp_path / "event-quality.json").read_text().replace("< 2", "< 3"))
+    with pytest.raises(EngineError, match="checksum"):
+        s.hub.install("event-quality")
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 2)).astype(np.float32).astype(float)
+    y = (rng.random(3000) < 1 / (1 + np.exp(-(1.5 * x[:, 0] - 2 * x[:, 1] + 0.5)))).astype(int)
+    s.register_table("rows", spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y, strict=True)], "a double, b double, label int"))
+    s.register_model(LinearOperator("m", [0.0, 0.0], 0.0, features=["a", "b"], accuracy=0.9))
+    told = s.sql("SELECT finetune_model('m', target_table => 'rows', epochs => 8) AS id").frame.first()
+    tuned = s.registry.latest("m")
+    assert told["version"] == tuned.version == "2.0.0" and abs(told["accuracy"] - np.mean((1 / (1 + np.exp(-(x @ tuned.weights + tuned.bias))) >= 0.5) == y)) < 1e-9
+    w = np.zeros(3)
+    full = np.column_stack([x, np.ones(3000)])
+    for _ in range(60):  # the maximum of the likelihood, by hand
+        p = 1 / (1 + np.exp(-full @ w))
+        w += np.linalg.solve((full * (p * (1 - p))[:, None]).T @ full, full.T @ (y - p))
+    assert np.allclose([*tuned.weights, tuned.bias], w, atol=1e-3)
+    assert s.sql("SELECT distill_model('m', target_table => 'rows', name => 'small', target_latency_ms => 0.2)").frame.first()["name"] == "small"
+    assert s.registry.latest("small").latency_ms == 0.2
+    frozen = finetune(s.table("rows"), LinearOperator("m", [0.3, 0.0], 0.0, features=["a", "b"]), "label", "3.0.0", frozen=("a",)).model
+    assert frozen.weights[0] == 0.3 and frozen.weights[1] < -1
+    assert finetune(s.table("rows").limit(0), tuned, "label", "4.0.0").rows == 0
+
+
+def test_locking_waits_and_breaks_circles():
+    c = transactions.LockingController()
+    one, two, three = c.begin(), c.begin(), c.begin()
+    c.write(one, "a")
+    c.write(two, "b")
+    with pytest.raises(VersionConflict):
+        c.write(three, "a", wait=False)
+    assert three.state == "aborted"
+    waiting = threading.Thread(target=c.write, args=(one, "b"))
+    waiting.start()
+    while not c.waits:
+        pass
+    with pytest.raises(VersionConflict):  # two waits for one, which waits for two
+        c.write(two, "a")
+    waiting.join(10)
+    assert two.state == "aborted" and c.held == {"a": one, "b": one}
+    c.commit(one)
+    assert not c.held and one.writes == {"a", "b"}
+    assert isinstance(transactions.controller(0.5, 10), transactions.LockingController) and isinstance(transactions.controller(0.0, 10), transactions.OptimisticController)
+
+
+def test_rules_that_use_each_other(spark):
+    s = Session(spark, Config(provenance="none"))
+    s.add_facts("edges", spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 1), (4, 5)], "a int, b int"))
+    for name, source in (("o1", "odd(A, B) :- edges(A, B)."), ("o2", "odd(A, C) :- even(A, B), edges(B, C)."), ("e1", "even(A, C) :- odd(A, B), edges(B, C)."), ("far", "far(A, B) :- even(A, B), A < 3.")):
+        s.register_rule(name, source)
+    edges, odd, even = {(1, 2), (2, 3), (3, 4), (4, 1), (4, 5)}, set(), set()
+    while True:
+        o = edges | {(a, c) for a, b in even for x, c in edges if x == b}
+        e = {(a, c) for a, b in o for x, c in edges if x == b}
+        if (o, e) == (odd, even):
+            break
+        odd, even = o, e
+    rows = lambda rule: {tuple(r) for r in s.evaluate(rule).collect()}
+    assert rows("o2") == odd and rows("e1") == even
+    assert rows("far") == {(a, b) for a, b in even if a < 3}

@@ -883,16 +883,16 @@ same_sql("sql_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS
          "SELECT event_id, cast(get_json_object(props, '$.k') AS bigint) AS k, get_json_object(props, '$.none') AS none FROM events")
 same_sql("sql_json_struct", "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS g, count(*) AS n FROM events GROUP BY 1", "SELECT from_json(props, 'k BIGINT').k % 10 AS g, count(*) AS n FROM events GROUP BY 1")
 same_sql("sql_struct", "SELECT o_orderkey, x.a AS a, x.b AS b FROM (SELECT o_orderkey, {'a': o_orderstatus, 'b': o_custkey} AS x FROM orders)", "SELECT o_orderkey, x.a AS a, x.b AS b FROM (SELECT o_orderkey, named_struct('a', o_orderstatus, 'b', o_custkey) AS x FROM orders)")
-same_sql("sql_map", "SELECT o_orderkey, cardinality(m) AS n, map_keys(m)[1] AS k, map_values(m)[2] AS v FROM (SELECT o_orderkey, map([o_orderstatus, 'all'], [o_custkey, o_orderkey]) AS m FROM orders)",
+same_sql("sql_map", "SELECT o_orderkey, CAST(cardinality(m) AS BIGINT) AS n, map_keys(m)[1] AS k, map_values(m)[2] AS v FROM (SELECT o_orderkey, map([o_orderstatus, 'all'], [o_custkey, o_orderkey]) AS m FROM orders)",
          "SELECT o_orderkey, bigint(cardinality(m)) AS n, map_keys(m)[0] AS k, map_values(m)[1] AS v FROM (SELECT o_orderkey, map(o_orderstatus, o_custkey, 'all', o_orderkey) AS m FROM orders)")
 same_sql("sql_encode", "SELECT c_custkey, hex(c_name) AS h, base64(encode(c_name)) AS b, decode(unhex(hex(c_name))) AS d, url_encode(c_name) AS u FROM customer",
          "SELECT c_custkey, hex(c_name) AS h, base64(encode(c_name, 'UTF-8')) AS b, decode(unhex(hex(c_name)), 'UTF-8') AS d, url_encode(c_name) AS u FROM customer")
-same_sql("sql_array_sets", "SELECT o_orderkey, array_to_string(list_sort(list_distinct(a)), ',') AS d, array_to_string(list_sort(list_intersect(a, b)), ',') AS i, array_to_string(a[2:3], ',') AS s, list_position(a, 2) AS p, list_sum(a) AS t"
+same_sql("sql_array_sets", "SELECT o_orderkey, array_to_string(list_sort(list_distinct(a)), ',') AS d, array_to_string(list_sort(list_intersect(a, b)), ',') AS i, array_to_string(a[2:3], ',') AS s, CAST(list_position(a, 2) AS BIGINT) AS p, CAST(list_sum(a) AS BIGINT) AS t"
          " FROM (SELECT o_orderkey, [o_orderkey % 3, o_custkey % 3, 2, o_orderkey % 5] AS a, [0, 2, 4] AS b FROM orders)",
          "SELECT o_orderkey, array_join(array_sort(array_distinct(a)), ',') AS d, array_join(array_sort(array_intersect(a, b)), ',') AS i, array_join(slice(a, 2, 2), ',') AS s, array_position(a, 2L) AS p, aggregate(a, 0L, (s, x) -> s + x) AS t"
          " FROM (SELECT o_orderkey, array(o_orderkey % 3, o_custkey % 3, 2L, o_orderkey % 5) AS a, array(0L, 2L, 4L) AS b FROM orders)")
-same_sql("sql_trig", "SELECT l_orderkey, l_linenumber, round(sin(l_quantity), 6) AS s, round(cos(l_tax), 6) AS c, round(atan2(l_quantity, l_linenumber), 6) AS a, round(exp(l_discount), 6) AS e, round(degrees(l_tax), 6) AS d, round(radians(l_quantity), 6) AS r, factorial(l_linenumber) AS f FROM lineitem",
-         "SELECT l_orderkey, l_linenumber, round(sin(l_quantity), 6) AS s, round(cos(l_tax), 6) AS c, round(atan2(l_quantity, l_linenumber), 6) AS a, round(exp(l_discount), 6) AS e, round(degrees(l_tax), 6) AS d, round(radians(l_quantity), 6) AS r, decimal(factorial(int(l_linenumber))) AS f FROM lineitem")
+same_sql("sql_trig", "SELECT l_orderkey, l_linenumber, round(sin(l_quantity), 6) AS s, round(cos(l_tax), 6) AS c, round(atan2(l_quantity, l_linenumber), 6) AS a, round(exp(l_discount), 6) AS e, round(degrees(l_tax), 6) AS d, round(radians(l_quantity), 6) AS r, CAST(factorial(l_linenumber) AS BIGINT) AS f FROM lineitem",
+         "SELECT l_orderkey, l_linenumber, round(sin(l_quantity), 6) AS s, round(cos(l_tax), 6) AS c, round(atan2(l_quantity, l_linenumber), 6) AS a, round(exp(l_discount), 6) AS e, round(degrees(l_tax), 6) AS d, round(radians(l_quantity), 6) AS r, factorial(int(l_linenumber)) AS f FROM lineitem")
 same_sql("sql_regexp_count", "SELECT p_partkey, len(regexp_extract_all(p_type, '[AEIOU]')) AS n, regexp_full_match(p_brand, '(Brand)#[0-9]+') AS m FROM part", "SELECT p_partkey, bigint(regexp_count(p_type, '[AEIOU]')) AS n, p_brand RLIKE '^(Brand)#[0-9]+$' AS m FROM part")
 
 

@@ -43,3 +43,10 @@ class Store:
     def drop(self, *names: str) -> None:
         for name in names:
             delete_path(self.spark, f"{self.path}/{name}")
+
+    def keep(self, *names: str) -> None:
+        """Remove all tables but these, once what was made of the others is written."""
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        for found in folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder):
+            if found.getPath().getName() not in names:
+                self.drop(found.getPath().getName())

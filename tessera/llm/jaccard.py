@@ -219,6 +219,7 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, k: int = 3, num: int =
     repeats = sets.filter("n > 0 AND doc_id IS NOT NULL").join(classes, "digest").filter("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
     edges = first.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more).union(repeats.select("lo", "hi"))
     final = store.put("final", components(store, edges, "cc2"))
+    store.keep("sets", "classes", "final")
 
     named = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
     out = sets.select("doc_id", "n", "digest").join(named, "digest", "left")

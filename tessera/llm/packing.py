@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.store import Store, prepare
-from tessera.llm.tokens import VOCABULARY, count_tokens
+from tessera.llm.tokens import count_tokens
 
 CAPACITY = 2048
 SHARD = 4096
@@ -95,7 +95,7 @@ def pack(spark: SparkSession, sized: DataFrame, capacity: int = CAPACITY, shard:
     return packed.union(empty).selectExpr("bin_id", "bin_offset", "doc_id", "piece", "start AS start_token", "size AS n_tokens")
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack_documents(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
     """Pack documents by their token counts; documents of equal text (white space and case aside) are one cluster."""
     cluster = F.xxhash64(F.regexp_replace(F.lower("text"), r"\s+", " "))
     sized = count_tokens(spark, docs.select("doc_id", "source", cluster.alias("cluster"), "text"), vocabulary)

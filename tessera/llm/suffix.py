@@ -285,7 +285,9 @@ def repeated_spans(spark: SparkSession, texts: DataFrame) -> DataFrame:
     buckets = max(1, -(-contexts.count() // BUCKET_ROWS))
     dealt = held.withColumn("bucket", F.pmod(F.xxhash64("anchor", "lo", "hi"), F.lit(buckets))).drop("anchor", "lo", "hi")
     sorted_ = dealt.groupBy("bucket").applyInArrow(_sort_bucket, "doc_id long, v long, start int, end int")
-    return store.put("all", spans.union(sorted_))
+    found = store.put("all", spans.union(sorted_))
+    store.keep("all")
+    return found
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tessera.llm import text as tx
 from tessera.llm.store import prepare
 
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"  # where the session sets no spark.tessera.vocabulary
 MARK = "▁".encode()
 _STATE_BITS = 21  # states; the rest of 31 bits counts popped tokens
 
@@ -35,6 +35,11 @@ def pieces_of(path: str = VOCABULARY) -> list[bytes]:
     return sorted({sp.id_to_piece(i).encode() for i in range(sp.get_piece_size()) if not odd(i)})
 
 
+def vocabulary_of(spark: SparkSession) -> str:
+    """The vocabulary file that the session names in spark.tessera.vocabulary, or VOCABULARY."""
+    return spark.conf.get("spark.tessera.vocabulary", VOCABULARY)
+
+
 class Automaton:
     """start: the state behind the mark; table[state, byte]: popped << _STATE_BITS | next; rest[state]: tokens at a word's end."""
 
@@ -135,7 +140,7 @@ def _count(held):
     return run
 
 
-def count_tokens(spark: SparkSession, docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def count_tokens(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Return the columns of docs except text, with n_words and n_tokens (greedy longest-match pieces).
 
     A null, empty or blank text has no words and no tokens. Rows are counted alone, so repeated rows get equal counts.
@@ -144,7 +149,7 @@ def count_tokens(spark: SparkSession, docs: DataFrame, vocabulary: str = VOCABUL
     """
     prepare(spark)
     docs = docs.drop("n_words", "n_tokens").withColumn("text", F.col("text").cast("string"))
-    held = spark.sparkContext.broadcast(pieces_of(vocabulary))
+    held = spark.sparkContext.broadcast(pieces_of(vocabulary or vocabulary_of(spark)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
     return docs.mapInArrow(_count(held), f"{fields + ', ' if fields else ''}n_words long, n_tokens long")
 

@@ -128,9 +128,21 @@ def times(a: Column, b: Column) -> Column:
         return F.when(F.size(factors) == 0, F.lit("1")).otherwise(F.array_join(factors, TIMES))
 
     pairs = F.flatten(F.transform(F.map_entries(a), lambda x: F.transform(F.map_entries(b), lambda y: F.struct(joined(x["key"], y["key"]).alias("m"), (x["value"] * y["value"]).alias("c")))))
-    names = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["m"])))
-    total = lambda n: F.aggregate(F.filter(pairs, lambda p: p["m"] == n), F.lit(0).cast("long"), lambda s, p: s + p["c"])
-    return F.map_from_arrays(names, F.transform(names, total))
+
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  (a value made once, read often)
+
+    def merged(pairs: Column) -> Column:
+        """Entries of sorted pairs, equal monomials as one: a run begins where the one before differs."""
+
+        def entry(i: Column, end: Column) -> Column:
+            total = F.aggregate(F.slice(pairs, i + 1, end - i), F.lit(0).cast("long"), lambda s, p: s + p["c"])
+            return F.struct(F.get(pairs, i)["m"].alias("key"), total.alias("value"))
+
+        begins = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda i: F.coalesce(F.get(pairs, i - 1)["m"] != F.get(pairs, i)["m"], F.lit(True)))
+        return once(begins, lambda at: F.transform(at, lambda i, k: entry(i, F.coalesce(F.get(at, k + 1), F.size(pairs)))))
+
+    entries = once(F.array_sort(pairs), merged)
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.map_from_entries(entries)).otherwise(F.create_map().cast("map<string,bigint>"))
 
 
 def polynomial_text(poly: Column) -> Column:

@@ -6,8 +6,8 @@ transitions of all other tokens of all documents, and of the identifiers that pr
 upper case, numbered), which follow from the counts of words' starts, first pairs, transitions and ends; a second ordinary one is of the
 names in Python's own library, which no corpus need hold. A token of LEAST or more characters is a secret
 where its log-likelihood ratio, random against ordinary (each the mean of its models' likelihoods), reaches a threshold. That is fitted on held-out labelled
-tokens: the least at which at most FALSE of the identifiers made of the short words (too short to be judged) of a bounded
-sample of documents pass, and LOWEST at least.
+tokens: the least at which at most FALSE of the identifiers made of the short words (too short to be judged) of all
+documents pass, and LOWEST at least.
 Spans that the base patterns find always stay; tokens that overlap them are not told twice.
 """
 
@@ -36,11 +36,15 @@ LEAST = 12  # characters of a token that is judged
 FALSE = 1e-4  # share of held-out ordinary tokens that may pass
 LOWEST = 8.0  # nats, where the held-out tokens allow less
 MASK = "<SECRET>"
-SAMPLE_DOCS = 2000  # documents of the held-out ordinary tokens: those of the smallest id hashes
 _A = len(ALPHABET)
 _CODE = np.full(256, _A, np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(_A)
 _TOKENS = tx.Words(bytes(b for b in range(256) if chr(b) not in ALPHABET), lower=False)
+_NUMBERS = [str(i) for i in range(10000)]
+_MADE = np.frombuffer(("_-/" + "".join(_NUMBERS)).encode(), np.uint8)  # what identifiers hold beside words
+_NUMBER_SIZES = np.array([len(x) for x in _NUMBERS])
+_NUMBER_STARTS = 3 + np.cumsum(_NUMBER_SIZES) - _NUMBER_SIZES
+_RAISED, _LOWERED = (np.frombuffer(turn(bytes(range(256))), np.uint8) for turn in (bytes.upper, bytes.lower))
 _UPPER, _LOWER, _DIGITS = (np.array([ALPHABET.index(c) for c in part]) for part in (ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62]))
 #: Alphabets of random strings: hex, letters of one or both cases, these with digits, base64 and its other form.
 KINDS_OF_RANDOM = ("0123456789abcdef", "0123456789ABCDEF", ALPHABET[26:52], ALPHABET[:26], ALPHABET[:52], ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62], ALPHABET[:62], ALPHABET[:64], ALPHABET[:62] + "_-")
@@ -84,20 +88,26 @@ def _byte_places(text: str, places: np.ndarray) -> np.ndarray:
     return np.append(heads, len(text.encode()))[places]
 
 
+def _tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, offsets, starts of tokens, their ends, whether each is clear of base spans) of slices of a column."""
+    for lo, _, buf, offsets in tx.slices(column):
+        _, starts, ends, _ = tx.words(buf, offsets, _TOKENS)
+        keep = np.ones(len(starts), bool)
+        for row in _suspects(buf, offsets, starts, ends):
+            text = column[lo + row].as_py()
+            if spans := base_spans(text):
+                a, b = (offsets[row] + _byte_places(text, np.array(x)) for x in zip(*((a, b) for a, _, b in spans), strict=True))
+                for i, j in zip(np.searchsorted(ends, a, side="right"), np.searchsorted(starts, b), strict=True):
+                    keep[i:j] = False
+        yield buf, offsets, starts, ends, keep
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row: transitions of captured values, and transitions, first pairs and ends of all other tokens."""
     captured, plain = np.zeros((_A + 1, _A), np.int64), np.zeros((_A + 1, _A), np.int64)
     first, last = np.zeros((_A, _A), np.int64), np.zeros(_A, np.int64)
     for batch in batches:
-        for lo, _, buf, offsets in tx.slices(batch.column("text")):
-            _, starts, ends, _ = tx.words(buf, offsets, _TOKENS)
-            keep = np.ones(len(starts), bool)
-            for row in _suspects(buf, offsets, starts, ends):
-                text = batch.column("text")[lo + row].as_py()
-                if spans := base_spans(text):
-                    a, b = (offsets[row] + _byte_places(text, np.array(x)) for x in zip(*((a, b) for a, _, b in spans), strict=True))
-                    for i, j in zip(np.searchsorted(ends, a, side="right"), np.searchsorted(starts, b), strict=True):
-                        keep[i:j] = False
+        for buf, _, starts, ends, keep in _tokens(batch.column("text")):
             codes = _CODE[buf]
             taken = [buf[a:b].tobytes().decode() for a, b in zip(starts[~keep], ends[~keep], strict=True) if b - a >= LEAST]
             captured += count_pairs(taken)
@@ -177,6 +187,7 @@ class Model:
         if captured[_A].sum() >= 100:
             randoms.append(captured)
         self.tables = np.stack([likelihoods(c) for c in (*randoms, ordinary, count_pairs(program_names()))])
+        self.reach = self.tables[:-2].max(axis=0) - self.tables[-2]  # summed, and log 2 more: no ratio is above it
         self.threshold = threshold
 
     def judge(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -194,15 +205,29 @@ class Model:
         return self.judge(np.frombuffer("~".join(tokens).encode("ascii"), np.uint8), ends - sizes, ends)
 
 
-def identifiers(words: list[str]) -> list[str]:
-    """Held-out ordinary tokens: identifiers of two or three of the words each."""
-    out = []
-    for i, (a, b, c) in enumerate(zip(words, words[1:], words[2:])):
-        mark = "_-/"[i % 3]
-        made = (f"{a}{mark}{b}{mark}{c}", f"{a}{b.capitalize()}{c.capitalize()}{i % 100}", f"{a.upper()}_{b.upper()}", f"{a}{mark}{b}{i % 10000}")[i // 3 % 4]
-        if len(made) >= LEAST:
-            out.append(made)
-    return out
+def identifiers(buf: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Held-out ordinary tokens (bytes, starts, ends): identifiers of LEAST or more characters, of two or three of the words each, that follow in a text."""
+    row, first = np.searchsorted(offsets, starts, side="right") - 1, np.searchsorted(starts, offsets)
+    at = np.flatnonzero(row[:-2] == row[2:])
+    i, sizes, n = at - first[row[at]], ends - starts, len(buf)
+    source = np.concatenate([buf, _RAISED[buf], _LOWERED[buf], _MADE])
+    places, lengths = np.zeros((len(at), 6), np.int64), np.zeros((len(at), 6), np.int64)
+    for form in range(4):
+        of = np.flatnonzero(i // 3 % 4 == form)
+        a, b, c = ((starts[at[of] + k], sizes[at[of] + k]) for k in range(3))
+        mark = 3 * n + i[of] % 3, 1
+        number = lambda most: (3 * n + _NUMBER_STARTS[i[of] % most], _NUMBER_SIZES[i[of] % most])  # noqa: B023, E731
+        raised = lambda word: (n + word[0], word[1])
+        hump = lambda word: ((n + word[0], 1), (2 * n + word[0] + 1, word[1] - 1))
+        made = ((a, mark, b, mark, c), (a, *hump(b), *hump(c), number(100)), (raised(a), (3 * n, 1), raised(b)), (a, mark, b, number(10000)))[form]
+        for j, (place, length) in enumerate(made):
+            places[of, j], lengths[of, j] = place, length
+    long = lengths.sum(axis=1) >= LEAST
+    places, lengths = places[long].ravel(), lengths[long].ravel()
+    ends = np.cumsum(lengths)
+    out = source[np.arange(int(lengths.sum())) + np.repeat(places - ends + lengths, lengths)]
+    ends = ends[5::6]
+    return out, np.concatenate([[0], ends[:-1]])[: len(ends)], ends
 
 
 def clear_of(spans: list[tuple[int, int, int]], others: list[tuple[int, int]]) -> list[bool]:
@@ -214,8 +239,8 @@ def clear_of(spans: list[tuple[int, int, int]], others: list[tuple[int, int]]) -
     return [not k or bool(reach[k - 1] <= a) for (a, _), k in zip(others, before.tolist(), strict=True)]
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Models of the transitions of all documents; the threshold from the tokens of at most sample_docs documents."""
+def train(docs: DataFrame) -> Model:
+    """Models of the transitions of all documents, and the threshold from the identifiers of all documents."""
     parts = docs.select("text").mapInArrow(_gather, "counts array<long>")
     total = parts.select(F.posexplode("counts").alias("i", "c")).groupBy("i").agg(F.sum("c").alias("c")).filter("c > 0")
     counts = np.zeros(2 * (_A + 1) * _A + _A * _A + _A, np.int64)
@@ -223,9 +248,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
         counts[r["i"]] = r["c"]
     captured, plain, first, last = np.split(counts, np.cumsum([(_A + 1) * _A, (_A + 1) * _A, _A * _A]))
     model = Model(captured.reshape(_A + 1, _A), ordinary_counts(plain.reshape(_A + 1, _A), first.reshape(_A, _A), last))
-    ids = docs.filter("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    held = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInArrow(_held_out(model), "ratio float, n long")
-    told = held.groupBy("ratio").agg(F.sum("n").alias("n")).orderBy(F.desc("ratio")).collect()  # steps of a quarter
+    held = docs.select("text").mapInArrow(_held_out(docs.sparkSession.sparkContext.broadcast(model)), "ratio float, n long")
+    told = held.groupBy("ratio").agg(F.sum("n").alias("n")).orderBy(F.desc("ratio")).collect()  # steps of a quarter, 801 at most
     allowed, passed = FALSE * sum(r["n"] for r in told), 0
     model.threshold = LOWEST
     for r in told:
@@ -236,18 +260,22 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     return model
 
 
-def _held_out(model: Model):
-    """Ratios of ordinary tokens and identifiers of each text, in steps of a quarter from 0 on, counted."""
+def _held_out(held):
+    """Ratios of the identifiers of all texts, in steps of a quarter, counted; those that are surely below LOWEST count as 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, found = held.value, np.zeros(801, np.int64)
         for batch in batches:
-            found: dict[float, int] = {}
-            for text in batch.column("text").to_pylist():
-                words = [m.span() for m in TOKEN.finditer(text or "") if m.end() - m.start() < LEAST]
-                tokens = [text[a:b] for (a, b), clear in zip(words, clear_of(base_spans(text or ""), words), strict=True) if clear]
-                for x in np.clip(np.floor(4 * model.ratio(made)) / 4, 0, 200).tolist() if (made := identifiers(tokens)) else ():
-                    found[x] = found.get(x, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.float32()), pa.array(list(found.values()), pa.int64())], ["ratio", "n"])
+            for buf, offsets, starts, ends, clear in _tokens(batch.column("text")):
+                short = clear & (ends - starts < LEAST)
+                made, a, b = identifiers(buf, offsets, starts[short], ends[short])
+                if len(a):
+                    near = _sums(model.reach, _CODE[made], a, b) + np.log(2) >= LOWEST - 1e-6
+                    steps = np.clip(np.floor(4 * model.judge(made, a[near], b[near])), 0, 800).astype(np.int64)
+                    found += np.bincount(steps, minlength=801)
+                    found[0] += len(a) - len(steps)
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array((some / 4).astype(np.float32)), pa.array(found[some])], ["ratio", "n"])
 
     return run
 
@@ -303,7 +331,7 @@ def _scan(held, mask: bool):
     return run
 
 
-def scan_secrets(spark: SparkSession, docs: DataFrame, sample_docs: int = SAMPLE_DOCS, mask: bool = False) -> DataFrame:
+def scan_secrets(spark: SparkSession, docs: DataFrame, mask: bool = False) -> DataFrame:
     """Return every row and column of docs with base_spans and secret_spans (base and added), in code points.
 
     A null or empty text has no spans. Rows are judged alone, so repeated rows get equal results, and columns of docs named
@@ -312,7 +340,7 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, sample_docs: int = SAMPLE
     """
     prepare(spark)
     docs = docs.drop("base_spans", "secret_spans").withColumn("text", F.col("text").cast("string"))
-    held = spark.sparkContext.broadcast(train(docs, sample_docs))  # 11 x 67 x 66 numbers
+    held = spark.sparkContext.broadcast(train(docs))  # 11 x 67 x 66 numbers
     span = "array<struct<start:int,kind:string,end:int>>"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(_scan(held, mask), f"{fields}, base_spans {span}, secret_spans {span}")

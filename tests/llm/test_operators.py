@@ -520,6 +520,47 @@ def test_counts_of_words_are_those_of_all_tokens():
     assert first.sum() == sum(len(t) > 1 for t in others) and last[secrets.ALPHABET.index("b")] == sum(t[-1] == "b" for t in others)
 
 
+def test_threshold_is_that_of_all_documents(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(23)
+    order = [r["id"] for r in spark.range(2600).orderBy(F.xxhash64("id"), "id").collect()]
+    odd = lambda: "".join(rng.choice("BCDFGHJKLMNPQRSTVWXZ0123456789bdfhkqvxz") for _ in range(rng.randrange(7, 11)))
+    data = [(d, english(rng, rng.randrange(12))) for d in order[:2200]] + [(d, f"é {odd()} token = {'ab9' * 9} {odd()} Of_tHe {odd()}, {odd()} a") for d in order[2200:]]
+    data += [(None, english(rng, 9)), (7, None), (7, "two words"), (7, "")]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    model = secrets.train(frame)
+    ratios = []
+    for _, t in data:
+        base = [(a, b) for a, _, b in secrets.base_spans(t or "")]
+        w = [m[0] for m in secrets.TOKEN.finditer(t or "") if len(m[0]) < 12 and all(b <= m.start() or m.end() <= a for a, b in base)]
+        made = []
+        for i, (a, b, c) in enumerate(zip(w, w[1:], w[2:], strict=False)):
+            mark = "_-/"[i % 3]
+            made.append((f"{a}{mark}{b}{mark}{c}", f"{a}{b.capitalize()}{c.capitalize()}{i % 100}", f"{a.upper()}_{b.upper()}", f"{a}{mark}{b}{i % 10000}")[i // 3 % 4])
+        made = [x for x in made if len(x) >= 12]
+        ratios += model.ratio(made).tolist() if made else []
+    steps = sorted((np.floor(4 * np.array(ratios)) / 4).tolist(), reverse=True)
+    assert model.threshold == max(8.0, steps[int(1e-4 * len(steps))] + 0.25) > 8.0
+
+
+def test_identifiers_follow_their_forms(spark):
+    rng = random.Random(24)
+    texts = [english(rng, n) for n in (0, 1, 2, 3, 70, 400)] + ["", "aB cD-eF Gh " * 20]
+    for batch in (texts, texts[:3]):
+        raw = [t.encode() for t in batch]
+        buf, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+        _, starts, ends, _ = text.words(buf, offsets, secrets._TOKENS)
+        made, a, b = secrets.identifiers(buf, offsets, starts, ends)
+        expected = []
+        for t in batch:
+            w = secrets.TOKEN.findall(t)
+            for i, (x, y, z) in enumerate(zip(w, w[1:], w[2:], strict=False)):
+                mark = "_-/"[i % 3]
+                expected.append((f"{x}{mark}{y}{mark}{z}", f"{x}{y.capitalize()}{z.capitalize()}{i % 100}", f"{x.upper()}_{y.upper()}", f"{x}{mark}{y}{i % 10000}")[i // 3 % 4])
+        assert [made[i:j].tobytes().decode() for i, j in zip(a, b, strict=True)] == [x for x in expected if len(x) >= 12]
+
+
 # 8 -------------------------------------------------------------------------------------------------------------------
 def gear_chunks(t):
     """The chunks of a text, byte by byte."""

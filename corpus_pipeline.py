@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.jaccard import jaccard_groups
 from tessera.llm.packing import pack_documents
-from tessera.llm.quality import fit, score_quality
+from tessera.llm.quality import fit, well_scored
 from tessera.llm.secrets import scan_secrets
 from tessera.llm.store import Store, prepare, without
 
@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below one half go."""
     prepare(spark)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(spark, docs, model).filter("score >= 0.5").select(*docs.columns)
+    return well_scored(spark, docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

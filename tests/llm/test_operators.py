@@ -738,6 +738,49 @@ def test_quality_against_brute_force(spark):
     assert sum(close) >= len(close) - 2  # a rounding step may swap a neighbour
 
 
+@pytest.mark.parametrize("block", [None, 300])
+def test_quality_learns_from_all_labelled_rows(spark, tmp_path, monkeypatch, block):
+    import corpus_pipeline
+
+    if block:
+        monkeypatch.setattr(quality, "ROWS", block)
+    rng = random.Random(32)
+    data = []
+    for i in range(1500):
+        w = words_of(rng, rng.randrange(2, 30), 60)
+        data.append((i, " ".join(w if i % 10 else [x.upper() + "!" for x in w])))
+    data += [(2000, ""), (2001, None), (2002, "Ü é!! 12ab")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    marks = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(1500)], "doc_id long, quality int")
+    allowed = {r["doc_id"] for r in marks.filter("crc32(cast(doc_id AS string)) % 3 <> 1").collect()}
+    assert sum(i % 10 > 0 for i in allowed) > 800
+    model = quality.fit(docs, marks, rank=12, k=7)
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(spark, extra(docs), model).collect()}
+    expected = scores_by_hand([t for _, t in data], [(int(i % 10 > 0), t) for i, t in data if i in allowed], 7, 12)
+    close = [abs(got[i] - e) < 1e-3 for (i, _), e in zip(data, expected, strict=True)]
+    assert len(got) == len(data) and model.n == len(allowed) and sum(close) >= len(close) - 6  # a rounding step may swap a neighbour
+    marks.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()}
+    assert {i for i in range(1500) if i % 10} == kept - {2000, 2001, 2002}
+
+
+def test_nearest_rows_are_those_of_all_blocks():
+    rng = np.random.default_rng(3)
+    unit, vectors = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.normal(size=(600, 8)).astype(np.float32), rng.normal(size=(5000, 8)).astype(np.float32)))
+    vectors[4000:4100] = vectors[:100]  # equals: the earlier rows stay
+    votes = rng.integers(0, 2, 5000)
+    near = np.full((600, 7), quality._NONE)
+    for first in range(0, 5000, 2300):
+        quality.nearer(near, unit, vectors[first : first + 2300], votes[first : first + 2300], first)
+    like = np.rint((unit @ vectors.T) * quality.GRAIN).astype(np.int64)
+    for i, keys in enumerate(near):
+        keys = np.sort(keys)[::-1]
+        at = (1 << quality._PLACE) - 1 - ((keys >> 1) & ((1 << quality._PLACE) - 1))
+        best = np.argsort(-like[i], kind="stable")[:7]
+        assert np.abs(like[i][at] - like[i][best]).max() <= 1 and (keys & 1).tolist() == votes[at].tolist() and len(set(at)) == 7
+        assert not set(at) & set(range(4000, 4100)) or all(a - 4000 in at for a in at if 4000 <= a < 4100)
+
+
 # 10 ------------------------------------------------------------------------------------------------------------------
 def groups(docs_):
     sets = {}

@@ -755,6 +755,7 @@ def test_quality_learns_from_all_labelled_rows(spark, tmp_path, monkeypatch, blo
     allowed = {r["doc_id"] for r in marks.filter("crc32(cast(doc_id AS string)) % 3 <> 1").collect()}
     assert sum(i % 10 > 0 for i in allowed) > 800
     model = quality.fit(docs, marks, rank=12, k=7)
+    assert abs(model.idf.max() - np.log(1 + len(allowed)) - 1) < 1e-9  # a feature that no labelled row holds
     got = {r["doc_id"]: r["score"] for r in quality.score_quality(spark, extra(docs), model).collect()}
     expected = scores_by_hand([t for _, t in data], [(int(i % 10 > 0), t) for i, t in data if i in allowed], 7, 12)
     close = [abs(got[i] - e) < 1e-3 for (i, _), e in zip(data, expected, strict=True)]
